@@ -118,8 +118,8 @@ used AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format
   WHERE term IN (SELECT term FROM top)),
 at_dims AS (SELECT term, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM used JOIN labelled USING (doc_id)),
 at_means AS (SELECT term, dim, avg(x) AS x FROM at_dims GROUP BY ALL),
-at AS (SELECT term, list(x ORDER BY dim) AS at FROM at_means GROUP BY 1),
-scored AS (SELECT topic, term, round(list_cosine_similarity(at.at, centre), 9) AS weight FROM top JOIN at USING (term) JOIN centres USING (topic))
+spots AS (SELECT term, list(x ORDER BY dim) AS spot FROM at_means GROUP BY 1),
+scored AS (SELECT topic, term, round(list_cosine_similarity(spot, centre), 9) AS weight FROM top JOIN spots USING (term) JOIN centres USING (topic))
 SELECT topic, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term)::INT AS rank
 FROM scored QUALIFY rank <= 10""")
 def keyword_rerank(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LENIENT = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
@@ -49,25 +49,28 @@ def join_text(c: Column, separator: str = ", ") -> Column:
     return F.array_join(c, separator)
 
 
-def count_terms(df: DataFrame, words: str, out: str = "terms") -> DataFrame:
-    """Replace the list column `words` by `out`: array<struct<term, tf>>, terms in order.
+def count_terms(words: Column) -> Column:
+    """array<struct<term, tf>> of a list of words, terms in order.
 
     Counting happens inside the row (sort, find where each run starts, take the
     differences), so no shuffle is needed and a long text costs n log n.
     """
-    spot = "_starts"
-    s, n = F.col(words), F.size(F.col(words))
-    first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
-    runs = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), first)).otherwise(
-        F.array().cast("array<int>")
-    )
-    run = lambda p, i: F.struct(
-        F.get(s, p).alias("term"),
-        (F.coalesce(F.get(F.col(spot), i + 1), n) - p).alias("tf"),
-    )
-    return (
-        df.withColumn(words, F.sort_array(words))
-        .withColumn(spot, runs)
-        .withColumn(out, F.transform(spot, run))
-        .drop(words, spot)
+
+    def starts(s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(s) - 1)
+        return F.when(
+            F.size(s) > 0, F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ).otherwise(F.array().cast("array<int>"))
+
+    def runs(s: Column, first: Column) -> Column:
+        return F.transform(
+            first,
+            lambda p, i: F.struct(
+                F.get(s, p).alias("term"),
+                (F.coalesce(F.get(first, i + 1), F.size(s)) - p).alias("tf"),
+            ),
+        )
+
+    return with_value(
+        F.sort_array(words), lambda s: with_value(starts(s), lambda first: runs(s, first))
     )

@@ -52,7 +52,8 @@ def nearest_terms(
     lengths = centres.groupBy("app_id", "topic_id").agg(
         F.sum(F.col("weight") * F.col("weight")).alias("c2")
     )
-    shortest = lengths.groupBy("app_id").agg(F.min(F.struct("c2", "topic_id")).alias("far"))
+    plain = F.struct(F.round("c2", 9).alias("d"), "topic_id")
+    shortest = lengths.groupBy("app_id").agg(F.min(plain).alias("far"))
     side = broadcast_if_small(centres, row_bytes=64, limit=64 * most_rows)
     entries = docs.select("app_id", key, F.inline_outer(weights)).filter(F.col("term").isNotNull())
     shared = (
@@ -64,12 +65,11 @@ def nearest_terms(
         .groupBy("app_id", key)
         .agg(F.min(F.struct("d", "topic_id")).alias("near"))
     )
-    far = F.struct(F.round(F.col("far.c2"), 9).alias("d"), F.col("far.topic_id").alias("topic_id"))
     return (
         docs.select("app_id", key)
         .join(shared, ["app_id", key], "left")
         .join(shortest, "app_id")
-        .select("app_id", key, F.least(F.coalesce(F.col("near"), far), far).alias("best"))
+        .select("app_id", key, F.least(F.coalesce("near", "far"), "far").alias("best"))
         .select("app_id", key, F.col("best.topic_id").alias("topic_id"))
     )
 

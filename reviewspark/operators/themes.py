@@ -26,7 +26,7 @@ SCORE_DECIMALS = 9
 def term_vectors(df: DataFrame, text: str, stop_words: Iterable[str] = (), out: str = "terms") -> DataFrame:
     """The default embedding: word counts of a text as array<struct<term, tf>>."""
     words = without(tokens(F.coalesce(F.col(text), F.lit(""))), stop_words)
-    return count_terms(df.withColumn("_words", words), "_words", out)
+    return df.withColumn(out, count_terms(words))
 
 
 def hashed_vectors(
@@ -35,7 +35,7 @@ def hashed_vectors(
     """Word counts in `n_features` hash buckets, scaled to length 1: `buckets` of (term, weight)."""
     words = without(tokens(F.coalesce(F.col(text), F.lit(""))), stop_words)
     bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % n_features
-    counted = count_terms(df.withColumn("_words", F.transform(words, bucket)), "_words", "_counts")
+    counted = df.withColumn("_counts", count_terms(F.transform(words, bucket)))
     return unit_weights(counted, "_counts", "buckets").drop("_counts")
 
 
@@ -44,7 +44,9 @@ def unit_weights(df: DataFrame, terms: str, out: str) -> DataFrame:
     entry = lambda n: lambda x: F.struct(
         x["term"].alias("term"), (x["tf"] / n).alias("weight")
     )
-    scaled = with_value(term_norm(F.col(terms)), lambda n: F.transform(terms, entry(n)))
+    scaled = with_value(
+        F.col(terms), lambda t: with_value(term_norm(t), lambda n: F.transform(t, entry(n)))
+    )
     return df.withColumn(out, scaled)
 
 
@@ -113,8 +115,8 @@ def _best(df: DataFrame, scores: Column) -> DataFrame:
 def assign_terms(reviews: DataFrame, packed: DataFrame, terms: str = "terms") -> DataFrame:
     """Nearest theme by cosine of word vectors; adds topic_id and similarity."""
     seeded = F.flatten(F.transform("themes", lambda t: t["weights"]["term"]))
-    shared = lambda seeds: F.map_from_entries(
-        F.filter(terms, lambda x: F.array_contains(seeds, x["term"]))
+    shared = lambda words, seeds: F.map_from_entries(
+        F.filter(words, lambda x: F.array_contains(seeds, x["term"]))
     )
 
     def scores(tf: Column, length: Column) -> Column:
@@ -128,8 +130,11 @@ def assign_terms(reviews: DataFrame, packed: DataFrame, terms: str = "terms") ->
     return _best(
         joined,
         with_value(
-            with_value(seeded, shared),
-            lambda tf: with_value(term_norm(F.col(terms)), lambda length: scores(tf, length)),
+            F.col(terms),
+            lambda words: with_value(
+                with_value(seeded, lambda seeds: shared(words, seeds)),
+                lambda tf: with_value(term_norm(words), lambda length: scores(tf, length)),
+            ),
         ),
     )
 
