@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewspark.catalogue.binding import APP, documents, table
 from reviewspark.catalogue.registry import query
 from reviewspark.functions import arrays, numbers, text
-from reviewspark.runtime import spread
+from reviewspark.runtime import settle, spread
 
 # All white space of Unicode; RE2 knows only the ASCII part of \s.
 _SPACE = (
@@ -44,7 +44,8 @@ def clean_html(spark, sf):
 @query(f"""WITH c AS (SELECT doc_id, {_review_sql('text')} AS clean FROM documents)
 SELECT doc_id, clean FROM c WHERE length(clean) >= 20""")
 def clean_text(spark, sf):
-    cleaned = documents(spark, sf).select("doc_id", text.clean_review(F.col("text")).alias("clean"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    cleaned = settle(docs, "clean", text.clean_review(F.col("text"))).drop("text")
     return cleaned.filter(text.long_enough(F.col("clean")))
 
 

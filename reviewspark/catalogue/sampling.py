@@ -19,6 +19,12 @@ def hash_sample(spark, sf):
     return sampling.fraction_sample(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 10)
 
 
+@query(f"""SELECT o_orderkey FROM orders WHERE CAST('0x' || substring({_hash_sql('o_orderkey')}, 1, 8) AS BIGINT)
+  < (SELECT floor(least(1.0, 5000.0::DOUBLE / greatest(count(*), 1)) * 4294967296.0) FROM orders)""")
+def sample_to_size(spark, sf):
+    return sampling.sample_to_size(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5000)
+
+
 @query(f"""SELECT l_suppkey, id, row_number() OVER (PARTITION BY l_suppkey ORDER BY h, id) AS sample_no FROM (
   SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, {_hash_sql('(l_orderkey * 8 + l_linenumber)')} AS h FROM lineitem)
 QUALIFY sample_no <= 50""")

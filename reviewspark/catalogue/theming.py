@@ -11,7 +11,7 @@ from reviewspark.catalogue.binding import (
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import aggregate, ranking
 from reviewspark.operators.themes import (
-    assign_by_text, assign_vectors, pack_vectors, seed_centroids, vector_centroids,
+    THEME_BYTES, assign_by_text, assign_vectors, pack_vectors, seed_centroids, vector_centroids,
 )
 from reviewspark.plans import report
 from reviewspark.runtime import broadcast_if_small, cut
@@ -29,7 +29,8 @@ best AS (
 
 def _vector_themes(points):
     seeds = points.select("app_id", F.col("label").alias("topic_id"), "embedding")
-    return cut(vector_centroids(seeds))
+    centroids = cut(vector_centroids(seeds))
+    return broadcast_if_small(pack_vectors(centroids, ["app_id"]), THEME_BYTES, counted=centroids)
 
 
 def _assigned(spark, sf):
@@ -48,8 +49,7 @@ def theme_centroids(spark, sf):
 @query("WITH " + _VECTOR_BEST_SQL + " SELECT vec_id, app_id, topic_id, round(similarity, 6) AS similarity FROM best")
 def theme_assignment(spark, sf):
     points = vectors(spark, sf)
-    packed = broadcast_if_small(pack_vectors(_vector_themes(points), ["app_id"]), row_bytes=64 * 1024)
-    placed = assign_vectors(points, packed, "embedding", ["app_id"])
+    placed = assign_vectors(points, _vector_themes(points), "embedding", ["app_id"])
     return placed.select("vec_id", "app_id", "topic_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -101,8 +101,7 @@ SELECT app_id, topic_id, review_count, positive, negative, {percent_sql('positiv
   {percent_sql('negative', 'review_count')} AS dislike_ratio FROM c""")
 def theme_report_vectors(spark, sf):
     points = vectors(spark, sf)
-    packed = broadcast_if_small(pack_vectors(_vector_themes(points), ["app_id"]), row_bytes=64 * 1024)
-    placed = assign_vectors(points, packed, "embedding", ["app_id"]).select("vec_id", *report.KEYS)
+    placed = assign_vectors(points, _vector_themes(points), "embedding", ["app_id"]).select("vec_id", *report.KEYS)
     votes = table(spark, sf, "labels").select(
         F.col("doc_id").alias("vec_id"), (F.col("quality") == 1).alias("voted_up")
     )

@@ -18,16 +18,18 @@ from reviewspark.operators.embedding import assign_embedded
 from reviewspark.operators.themes import assign_vectors, hashed_vectors, pack_vectors
 from reviewspark.operators.aggregate import counts_by, mean_vector
 from reviewspark.operators.sampling import sample_per_group
+from reviewspark.runtime import cut
 
 
 @query(f"""WITH t AS (SELECT doc_id, CAST('0x' || substring(md5(term), 1, 8) AS BIGINT) % 262144 AS b
   FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) WHERE term NOT IN {STOP_SQL}),
 n AS (SELECT doc_id, b, count(*) AS tf FROM t GROUP BY ALL)
-SELECT doc_id, count(*)::INT AS n_buckets, min(b) AS lowest, round(sum(tf) / sqrt(sum(tf * tf)), 6) AS total FROM n GROUP BY 1""")
+SELECT doc_id, count(b)::INT AS n_buckets, min(b) AS lowest, coalesce(round(sum(tf) / sqrt(sum(tf * tf)), 6), 0) AS total
+FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def hashed_vectors_summary(spark, sf):
     hashed = hashed_vectors(documents(spark, sf).select("doc_id", "text"), "text", stop_words=STOP_WORDS)
     weights = F.col("buckets.weight")
-    return hashed.filter(F.size("buckets") > 0).select(
+    return hashed.select(
         "doc_id",
         F.size("buckets").alias("n_buckets"),
         F.array_min("buckets.term").alias("lowest"),
@@ -52,7 +54,8 @@ tfidf_top AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic
 
 @query("WITH " + _TFIDF_SQL + " SELECT topic, term, round(weight, 6) AS weight, rank FROM tfidf_top")
 def tfidf_top_terms(spark, sf):
-    sampled = sample_per_group(labelled_texts(spark, sf).select("topic", "doc_id", "text"), ["topic"], "doc_id", 10_000)
+    docs = labelled_texts(spark, sf).select("topic", "doc_id", "text")
+    sampled = cut(sample_per_group(docs, ["topic"], "doc_id", 10_000))
     weights = keywords.tfidf_weights(sampled, "topic", "doc_id", "text", stop_words=STOP_WORDS)
     return keywords.top_terms(weights, ["topic"]).withColumn("weight", F.round("weight", 6))
 

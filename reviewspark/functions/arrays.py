@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewspark.functions.text import SPACE
+
 _LENIENT = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
@@ -25,7 +27,7 @@ def list_cell(c: Column) -> Column:
     Missing or blank gives no elements, `[...]` is parsed and loses its nulls, any
     other text (also brackets that do not parse) is one element.
     """
-    text = F.regexp_replace(c, r"^(?U:\s)+|(?U:\s)+$", "")
+    text = F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
     # A printed list writes a missing element as None; JSON spells it null.
     spelled = F.regexp_replace(text, r"(?<=[\[,])\s*None\s*(?=[,\]])", "null")
     parsed = F.from_json(spelled, "array<string>", _LENIENT)

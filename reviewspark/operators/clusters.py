@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.ranking import top_rows
-from reviewspark.operators.themes import assign_vectors, pack_vectors
+from reviewspark.operators.themes import THEME_BYTES, assign_vectors, pack_vectors
 from reviewspark.runtime import broadcast_if_small, cut
 
 
 def _packed(centroids: DataFrame, keys: list[str]) -> DataFrame:
     packed = pack_vectors(centroids, keys)
-    return broadcast_if_small(packed, row_bytes=64 * 1024) if keys else packed
+    return broadcast_if_small(packed, THEME_BYTES, counted=centroids) if keys else packed
 
 
 def seeded_kmeans(

@@ -7,22 +7,21 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewspark.functions.arrays import with_value
 from reviewspark.functions.text import tokens, without
 from reviewspark.functions.vectors import cosine, dot, norm
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.ranking import top_rows
+from reviewspark.runtime import cut
 
 
 def terms_of(text: Column, stop_words: Iterable[str] = (), bigrams: bool = False) -> Column:
     words = without(tokens(text), stop_words)
     if not bigrams:
         return words
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.concat(words, pairs)
+    rest = lambda w, at: F.slice(w, at, F.greatest(F.size(w) - 1, F.lit(0)))
+    pairs = lambda w: F.zip_with(rest(w, 1), rest(w, 2), lambda a, b: F.concat_ws(" ", a, b))
+    return with_value(words, lambda w: F.concat(w, pairs(w)))
 
 
 def explode_terms(docs: DataFrame, keep: list[str], words: Column) -> DataFrame:
@@ -43,7 +42,8 @@ def tfidf_weights(
 
     idf = ln((1 + n) / (1 + df)) + 1; each document is scaled to length 1.
     """
-    tf = (
+    # Read four times below; as large as the documents' distinct terms.
+    tf = cut(
         explode_terms(docs, [group, key], terms_of(F.col(text), stop_words, bigrams))
         .groupBy(group, key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -54,12 +54,12 @@ def tfidf_weights(
         .orderBy(F.desc("uses"), "term")
         .limit(vocabulary)
     )
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    n_docs = sizes.agg(F.sum("n")).scalar()
     idf = kept.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     # At most `vocabulary` rows.
     weighted = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     return (
         weighted.join(lengths, key)
         .groupBy(group, "term")

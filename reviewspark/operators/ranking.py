@@ -14,6 +14,9 @@ from reviewspark.operators.joins import join_groups
 
 SLICE_ROWS = 50_000
 
+# Up to this k Spark limits a group inside the map tasks (its own default threshold).
+MAP_SIDE_ROWS = 1000
+
 
 def id_slice(df: DataFrame, order: str, rows: int = SLICE_ROWS) -> Column:
     """Slice number of a unique integer key: even spans holding about `rows` rows each."""
@@ -72,8 +75,11 @@ def first_by_hash(
 ) -> DataFrame:
     """The first k rows of each group by a hexadecimal hash key, ties by `tie`.
 
-    `k` may be a column that is constant in its group.
+    `k` may be a column that is constant in its group. Up to MAP_SIDE_ROWS rows Spark
+    keeps k rows per group in every map task, which needs no counts of slices.
     """
+    if isinstance(k, int) and k <= MAP_SIDE_ROWS:
+        return top_rows(df, group, [F.col(order), F.col(tie)], k, out)
     placed = _with_offsets(df, group, hash_slice(order)).filter(F.col("_before") < k)
     return _numbered(placed, group, [order, tie], out).filter(F.col(out) <= k)
 

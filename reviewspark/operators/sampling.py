@@ -13,9 +13,20 @@ def hash_key(key: str, seed: int = 42) -> Column:
 
 
 def fraction_sample(df: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
-    """About `percent` in a hundred rows, by the first eight digits of the hash. No shuffle."""
-    point = F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("bigint")
-    return df.filter(point < F.lit((percent << 32) // 100))
+    """About `percent` in a hundred rows. No shuffle."""
+    return df.filter(_point(key, seed) < F.lit((percent << 32) // 100))
+
+
+def _point(key: str, seed: int) -> Column:
+    """The first eight digits of the hash as a number in [0, 2^32)."""
+    return F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("bigint")
+
+
+def sample_to_size(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """A fraction of the rows chosen so that about `most` remain (all of fewer). No shuffle."""
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(F.count(F.lit(1)), F.lit(1)))
+    limit = df.agg(F.floor(share * F.lit(float(1 << 32)))).scalar()
+    return df.filter(_point(key, seed) < limit)
 
 
 def sample_per_group(

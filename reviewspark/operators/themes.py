@@ -22,6 +22,9 @@ from reviewspark.runtime import broadcast_if_small
 # depend on the order in which products were added up.
 SCORE_DECIMALS = 9
 
+# Estimated size of one theme in a packed row: a few seeds, or a vector of some hundred numbers.
+THEME_BYTES = 8 * 1024
+
 
 def term_vectors(df: DataFrame, text: str, stop_words: Iterable[str] = (), out: str = "terms") -> DataFrame:
     """The default embedding: word counts of a text as array<struct<term, tf>>."""
@@ -171,7 +174,9 @@ def assign_by_text(
     reviews: DataFrame, themes: DataFrame, text: str = "review", stop_words: Iterable[str] = ()
 ) -> DataFrame:
     """Reviews + topic_id by the words they share with the seeds of their product's themes."""
-    packed = broadcast_if_small(pack_seeds(themes, stop_words), row_bytes=64 * 1024)
+    packed = broadcast_if_small(
+        pack_seeds(themes, stop_words), THEME_BYTES, counted=themes.select("app_id")
+    )
     vectors = term_vectors(reviews, text, stop_words)
     return assign_terms(vectors, packed).drop("terms")
 

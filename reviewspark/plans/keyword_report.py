@@ -13,6 +13,7 @@ from reviewspark.operators.keywords import keyword_text, tfidf_weights, top_term
 from reviewspark.operators.ranking import best_row
 from reviewspark.operators.sampling import sample_per_group
 from reviewspark.operators.summaries import Summariser, or_beginning, summary_column
+from reviewspark.runtime import cut
 
 
 def keyword_report(
@@ -25,8 +26,9 @@ def keyword_report(
     and examples from all of them. `names` holds the topic and its theme.
     """
     counts = sentiment_counts(assigned, topic)
-    sampled = sample_per_group(assigned.select(topic, key, text), [topic], key, sample)
-    keywords = keyword_text(top_terms(tfidf_weights(sampled, topic, key, text, stop_words=stop_words), [topic]), [topic])
+    sampled = cut(sample_per_group(assigned.select(topic, key, text), [topic], key, sample))
+    weights = tfidf_weights(sampled, topic, key, text, stop_words=stop_words)
+    keywords = keyword_text(top_terms(weights, [topic]), [topic])
     examples = best_row(
         assigned.select(topic, key, votes, text), [topic], [F.desc(votes), F.asc(key)], key, [text]
     ).select(topic, F.col(text).alias("example"))

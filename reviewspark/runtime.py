@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side may hold at most this many bytes by our own estimate.
@@ -43,18 +43,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, counted: DataFrame | None = None
+) -> DataFrame:
     """Mark `df` for broadcast only after counting that it fits.
 
-    The count stops at the first row beyond the limit. A larger side is returned as it
-    is; the join then shuffles, and adaptive execution splits a skewed key.
+    Counts the rows of `counted` (default: `df`) at `row_bytes` each and stops at the
+    first row beyond the limit. A larger side is returned as it is; the join then
+    shuffles, and adaptive execution splits a skewed key.
     """
     most = max(1, limit // max(1, row_bytes))
-    if df.limit(most + 1).count() <= most:
+    if (df if counted is None else counted).limit(most + 1).count() <= most:
         return F.broadcast(df)
     return df
 
 
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters may use without working it out again.
+
+    Spark moves a filter below the projection that computes its column by repeating the
+    expression there; it does not move one below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on an input that arrives in fewer splits than there are cores.
 
