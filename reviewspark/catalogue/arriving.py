@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewspark.catalogue.binding import VECTORS_SQL, table
+from reviewspark.catalogue.binding import table
 from reviewspark.catalogue.registry import query
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.themes import assign_vectors, pack_vectors
@@ -12,6 +12,9 @@ from reviewspark.runtime import cut, work_dir
 from reviewspark.streaming import incremental
 
 
+_VECTORS = "vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
+
+
 def _stream(spark, sf, name):
     """The table as a stream of files (the pattern makes its file a source of files)."""
     schema = table(spark, sf, name).schema
@@ -32,7 +35,7 @@ def resumable_ingest(spark, sf):
     return spark.read.schema(table(spark, sf, "events").schema).parquet(target)
 
 
-@query(f"""WITH {VECTORS_SQL}, d AS (SELECT label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),
+@query(f"""WITH {_VECTORS}, d AS (SELECT label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),
 m AS (SELECT topic_id, dim, avg(x) AS x FROM d GROUP BY ALL),
 c AS (SELECT topic_id, list(x ORDER BY dim) AS c FROM m GROUP BY 1),
 b AS (SELECT vec_id, topic_id FROM vectors, c
@@ -55,7 +58,7 @@ def incremental_theme_counts(spark, sf):
     return incremental.running_counts(spark, target, ["topic_id"])
 
 
-@query(f"""WITH {VECTORS_SQL}, d AS (SELECT label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),
+@query(f"""WITH {_VECTORS}, d AS (SELECT label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),
 m AS (SELECT topic_id, dim, avg(x) AS x FROM d GROUP BY ALL),
 c AS (SELECT topic_id, list(x ORDER BY dim) AS c FROM m GROUP BY 1),
 b AS (SELECT vec_id, embedding, topic_id FROM vectors, c
