@@ -136,8 +136,8 @@ FROM counted c JOIN pages p USING (app_id, topic_id)
 LEFT JOIN themes t ON t.app_id = c.app_id AND t.topic_id = c.topic_id""")
 def theme_report_pages(spark, sf):
     assigned = cut(_assigned(spark, sf).select("review_id", *report.KEYS, "voted_up", "review"))
-    pages = report.review_pages(assigned, "review_id", "review", 20)
-    full = report.paged_report(report.report_of(assigned, themes(spark)), pages)
+    counts = report.report_of(assigned, themes(spark))
+    full = report.paged_report(counts, assigned, "review_id", "review", 20)
     digest = lambda c: F.md5(F.array_join(c, "|"))
     return full.select(
         "app_id", "theme", "review_count", "page",

@@ -18,7 +18,7 @@ from reviewspark.operators.embedding import assign_embedded
 from reviewspark.operators.themes import assign_vectors, hashed_vectors, pack_vectors
 from reviewspark.operators.aggregate import counts_by, mean_vector
 from reviewspark.operators.sampling import sample_per_group
-from reviewspark.runtime import cut
+from reviewspark.runtime import cut, spread
 
 
 @query(f"""WITH t AS (SELECT doc_id, CAST('0x' || substring(md5(term), 1, 8) AS BIGINT) % 262144 AS b
@@ -55,7 +55,7 @@ tfidf_top AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic
 @query("WITH " + _TFIDF_SQL + " SELECT topic, term, round(weight, 6) AS weight, rank FROM tfidf_top")
 def tfidf_top_terms(spark, sf):
     docs = labelled_texts(spark, sf).select("topic", "doc_id", "text")
-    sampled = cut(sample_per_group(docs, ["topic"], "doc_id", 10_000))
+    sampled = spread(cut(sample_per_group(docs, ["topic"], "doc_id", 10_000)), "doc_id")
     weights = keywords.tfidf_weights(sampled, "topic", "doc_id", "text", stop_words=STOP_WORDS)
     return keywords.top_terms(weights, ["topic"]).withColumn("weight", F.round("weight", 6))
 

@@ -14,8 +14,9 @@ from reviewspark.operators.joins import join_groups
 
 SLICE_ROWS = 50_000
 
-# Up to this k Spark limits a group inside the map tasks (its own default threshold).
-MAP_SIDE_ROWS = 1000
+# Up to this k a group is limited inside the map tasks only: the task that finishes a
+# group then sees k rows from each of them.
+MAP_SIDE_ROWS = 100
 
 
 def id_slice(df: DataFrame, order: str, rows: int = SLICE_ROWS) -> Column:

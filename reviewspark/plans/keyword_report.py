@@ -13,7 +13,7 @@ from reviewspark.operators.keywords import keyword_text, tfidf_weights, top_term
 from reviewspark.operators.ranking import best_row
 from reviewspark.operators.sampling import sample_per_group
 from reviewspark.operators.summaries import Summariser, or_beginning, summary_column
-from reviewspark.runtime import cut
+from reviewspark.runtime import cut, spread
 
 
 def keyword_report(
@@ -26,7 +26,7 @@ def keyword_report(
     and examples from all of them. `names` holds the topic and its theme.
     """
     counts = sentiment_counts(assigned, topic)
-    sampled = cut(sample_per_group(assigned.select(topic, key, text), [topic], key, sample))
+    sampled = spread(cut(sample_per_group(assigned.select(topic, key, text), [topic], key, sample)), key)
     weights = tfidf_weights(sampled, topic, key, text, stop_words=stop_words)
     keywords = keyword_text(top_terms(weights, [topic]), [topic])
     examples = best_row(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewspark.functions.numbers import percent_text
 from reviewspark.functions.text import preview
 from reviewspark.operators.aggregate import complete, merge_counts, sentiment_counts
-from reviewspark.operators.ranking import best_row, chunk_lists, first_rows
+from reviewspark.operators.ranking import best_row, chunk_lists, chunk_numbers, first_rows
 from reviewspark.operators.themes import assign_by_text
 from reviewspark.sources.themes import theme_names
 
@@ -66,21 +66,26 @@ def review_pages(assigned: DataFrame, order: str, text: str, k: int) -> DataFram
     return chunk_lists(votes, [*KEYS, "voted_up"], order, text, k, out="reviews")
 
 
-def paged_report(report: DataFrame, pages: DataFrame) -> DataFrame:
-    """Report rows with both lists: page i of a theme holds its i-th positive and negative page."""
-    side = lambda v: F.max(F.when(F.col("voted_up") == v, F.col("reviews")))
-    none = F.array().cast("array<string>")
-    lists = pages.groupBy(*KEYS, "chunk_no").agg(
-        F.coalesce(side(True), none).alias("positive_reviews"),
-        F.coalesce(side(False), none).alias("negative_reviews"),
-    )
-    return (
-        report.join(lists, KEYS, "left")
-        .withColumn("page", F.coalesce("chunk_no", F.lit(0)))
-        .withColumn("positive_reviews", F.coalesce("positive_reviews", none))
-        .withColumn("negative_reviews", F.coalesce("negative_reviews", none))
-        .drop("chunk_no")
+def paged_report(report: DataFrame, assigned: DataFrame, order: str, text: str, k: int) -> DataFrame:
+    """Report rows with both lists: page i of a theme holds its i-th k positive and negative reviews.
+
+    Both sides are laid out in one pass, so a text is shuffled twice: to be numbered and
+    to join its page.
+    """
+    votes = assigned.filter(F.col("voted_up").isNotNull() & F.col(text).isNotNull())
+    entry = F.struct("row_no", F.col(text).alias("t"))
+    side = lambda c: F.sort_array(F.collect_list(F.when(c, entry)))["t"]
+    lists = (
+        chunk_numbers(votes, [*KEYS, "voted_up"], order, k)
+        .groupBy(*KEYS, F.col("chunk_no").alias("page"))
+        .agg(
+            side(F.col("voted_up")).alias("positive_reviews"),
+            side(~F.col("voted_up")).alias("negative_reviews"),
+        )
     )
+    none = F.array().cast("array<string>")
+    filled = {n: F.coalesce(n, none) for n in ("positive_reviews", "negative_reviews")}
+    return report.join(lists, KEYS, "left").withColumns({"page": F.coalesce("page", F.lit(0)), **filled})
 
 
 def sample_reviews(assigned: DataFrame, order: str, text: str, n: int = 5, most: int = 300) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.functions.arrays import field_of_each
+from reviewspark.runtime import settle
 from reviewspark.schema import RAW_DOCUMENT, REVIEWS
 
 
@@ -15,7 +16,8 @@ def read_raw(spark: SparkSession, path: str, whole_files: bool = True) -> DataFr
 
 
 def _parsed(texts: DataFrame, column: str) -> DataFrame:
-    return texts.withColumn("_doc", F.from_json(column, RAW_DOCUMENT))
+    """Adds `_doc`; each text is parsed once, whatever is asked about it later."""
+    return settle(texts, "_doc", F.from_json(column, RAW_DOCUMENT))
 
 
 def rejects(texts: DataFrame, column: str = "value") -> DataFrame:
