@@ -39,7 +39,7 @@ HEADLINE = [
     "text_join_fanout",
     "resume_remaining",
     "checkpoint_merge",
-    "hashed_vectors_summary",
+    "hashed_vectors",
     "tfidf_top_terms",
     "class_tfidf_terms",
     "seeded_kmeans",

@@ -26,13 +26,13 @@ def _centres(spark, sf):
     return cut(mean_vector(seeds, ["topic_id"], "embedding"))
 
 
-@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
 def resumable_ingest(spark, sf):
     target, checkpoint = work_dir(spark, "ingested"), work_dir(spark, "progress")
     # The second run finds everything done and adds nothing.
     for _ in range(2):
         incremental.ingest_table(_stream(spark, sf, "events"), target, checkpoint).awaitTermination()
-    return spark.read.schema(table(spark, sf, "events").schema).parquet(target)
+    return spark.read.schema(table(spark, sf, "events").schema).parquet(target).drop("ts")
 
 
 @query(f"""WITH {_VECTORS}, d AS (SELECT label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),

@@ -11,10 +11,10 @@ from reviewspark.catalogue.binding import (
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import aggregate, ranking
 from reviewspark.operators.themes import (
-    THEME_BYTES, assign_by_text, assign_vectors, pack_vectors, seed_centroids, vector_centroids,
+    assign_by_text, nearest_vectors, seed_centroids, vector_centroids,
 )
 from reviewspark.plans import report
-from reviewspark.runtime import broadcast_if_small, cut
+from reviewspark.runtime import cut
 
 _CENTROID_SQL = VECTORS_SQL + """, dims AS (
   SELECT app_id, label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),
@@ -29,8 +29,7 @@ best AS (
 
 def _vector_themes(points):
     seeds = points.select("app_id", F.col("label").alias("topic_id"), "embedding")
-    centroids = cut(vector_centroids(seeds))
-    return broadcast_if_small(pack_vectors(centroids, ["app_id"]), THEME_BYTES, counted=centroids)
+    return cut(vector_centroids(seeds))
 
 
 def _assigned(spark, sf):
@@ -49,7 +48,7 @@ def theme_centroids(spark, sf):
 @query("WITH " + _VECTOR_BEST_SQL + " SELECT vec_id, app_id, topic_id, round(similarity, 6) AS similarity FROM best")
 def theme_assignment(spark, sf):
     points = vectors(spark, sf)
-    placed = assign_vectors(points, _vector_themes(points), "embedding", ["app_id"])
+    placed = nearest_vectors(points, _vector_themes(points), "embedding", ["app_id"])
     return placed.select("vec_id", "app_id", "topic_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -101,7 +100,7 @@ SELECT app_id, topic_id, review_count, positive, negative, {percent_sql('positiv
   {percent_sql('negative', 'review_count')} AS dislike_ratio FROM c""")
 def theme_report_vectors(spark, sf):
     points = vectors(spark, sf)
-    placed = assign_vectors(points, _vector_themes(points), "embedding", ["app_id"]).select("vec_id", *report.KEYS)
+    placed = nearest_vectors(points, _vector_themes(points), "embedding", ["app_id"]).select("vec_id", *report.KEYS)
     votes = table(spark, sf, "labels").select(
         F.col("doc_id").alias("vec_id"), (F.col("quality") == 1).alias("voted_up")
     )

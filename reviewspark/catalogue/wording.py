@@ -13,9 +13,10 @@ from reviewspark.catalogue.binding import (
 )
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import keywords
+from reviewspark.operators import themes as themes_op
 from reviewspark.operators.clusters import representatives
 from reviewspark.operators.embedding import assign_embedded
-from reviewspark.operators.themes import assign_vectors, hashed_vectors, pack_vectors
+from reviewspark.operators.themes import assign_vectors, pack_vectors
 from reviewspark.operators.aggregate import counts_by, mean_vector
 from reviewspark.operators.sampling import sample_per_group
 from reviewspark.runtime import cut, spread
@@ -26,8 +27,8 @@ from reviewspark.runtime import cut, spread
 n AS (SELECT doc_id, b, count(*) AS tf FROM t GROUP BY ALL)
 SELECT doc_id, count(b)::INT AS n_buckets, min(b) AS lowest, coalesce(round(sum(tf) / sqrt(sum(tf * tf)), 6), 0) AS total
 FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""")
-def hashed_vectors_summary(spark, sf):
-    hashed = hashed_vectors(documents(spark, sf).select("doc_id", "text"), "text", stop_words=STOP_WORDS)
+def hashed_vectors(spark, sf):
+    hashed = themes_op.hashed_vectors(documents(spark, sf).select("doc_id", "text"), "text", stop_words=STOP_WORDS)
     weights = F.col("buckets.weight")
     return hashed.select(
         "doc_id",

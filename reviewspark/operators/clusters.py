@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.ranking import top_rows
-from reviewspark.operators.themes import THEME_BYTES, assign_vectors, pack_vectors
+from reviewspark.operators.themes import nearest_vectors
 from reviewspark.runtime import broadcast_if_small, cut
 
 
-def _packed(centroids: DataFrame, keys: list[str]) -> DataFrame:
-    packed = pack_vectors(centroids, keys)
-    return broadcast_if_small(packed, THEME_BYTES, counted=centroids) if keys else packed
-
-
 def seeded_kmeans(
     points: DataFrame, seeds: DataFrame, keys: list[str], vector: str, rounds: int
 ) -> DataFrame:
@@ -26,7 +21,7 @@ def seeded_kmeans(
     """
     centres = cut(seeds)
     for _ in range(rounds):
-        placed = assign_vectors(points, _packed(centres, keys), vector, keys, metric="euclidean")
+        placed = nearest_vectors(points, centres, vector, keys, metric="euclidean")
         moved = mean_vector(placed, [*keys, "topic_id"], vector, out="_moved")
         centres = cut(
             centres.join(moved, [*keys, "topic_id"], "left")
@@ -37,11 +32,11 @@ def seeded_kmeans(
 
 
 def predict(points: DataFrame, centres: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    return assign_vectors(points, _packed(centres, keys), vector, keys, metric="euclidean")
+    return nearest_vectors(points, centres, vector, keys, metric="euclidean")
 
 
 def nearest_terms(
-    docs: DataFrame, centres: DataFrame, key: str, weights: str = "weights", most_rows: int = 500_000
+    docs: DataFrame, centres: DataFrame, key: str, weights: str = "weights"
 ) -> DataFrame:
     """Nearest centre of unit-length sparse vectors: app_id, key, topic_id.
 
@@ -54,7 +49,7 @@ def nearest_terms(
     )
     plain = F.struct(F.round("c2", 9).alias("d"), "topic_id")
     shortest = lengths.groupBy("app_id").agg(F.min(plain).alias("far"))
-    side = broadcast_if_small(centres, row_bytes=64, limit=64 * most_rows)
+    side = broadcast_if_small(centres, F.length(F.col("term").cast("string")) + 64)
     entries = docs.select("app_id", key, F.inline_outer(weights)).filter(F.col("term").isNotNull())
     shared = (
         entries.join(side.withColumnRenamed("weight", "c"), ["app_id", "term"])

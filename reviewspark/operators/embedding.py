@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.operators.themes import THEME_BYTES, assign_vectors, pack_vectors, vector_centroids
-from reviewspark.runtime import broadcast_if_small, cut
+from reviewspark.operators.themes import nearest_vectors, vector_centroids
+from reviewspark.runtime import cut
 
 # From a list of texts to one vector each.
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -40,6 +40,5 @@ def assign_embedded(
 ) -> DataFrame:
     """Reviews + topic_id with any embedding model."""
     centroids = cut(embedded_centroids(themes, make))
-    packed = broadcast_if_small(pack_vectors(centroids, ["app_id"]), THEME_BYTES, counted=centroids)
     embedded = reviews.withColumn("_embedding", embed_column(F.col(text), make))
-    return assign_vectors(embedded, packed, "_embedding", ["app_id"]).drop("_embedding")
+    return nearest_vectors(embedded, centroids, "_embedding", ["app_id"]).drop("_embedding")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side may hold at most this many bytes by our own estimate.
+# A broadcast side may hold at most this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -43,19 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of `df`, of `size` bytes each, stay within the limit together."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
 def broadcast_if_small(
-    df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, counted: DataFrame | None = None
+    df: DataFrame, size: Column, limit: int = BROADCAST_BYTES, measured: DataFrame | None = None
 ) -> DataFrame:
-    """Mark `df` for broadcast only after counting that it fits.
+    """Mark `df` for broadcast only after measuring that it (or `measured`) fits.
 
-    Counts the rows of `counted` (default: `df`) at `row_bytes` each and stops at the
-    first row beyond the limit. A larger side is returned as it is; the join then
-    shuffles, and adaptive execution splits a skewed key.
+    A larger side is returned as it is; the join then shuffles, and adaptive execution
+    splits a skewed key.
     """
-    most = max(1, limit // max(1, row_bytes))
-    if (df if counted is None else counted).limit(most + 1).count() <= most:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits(df if measured is None else measured, size, limit) else df
 
 
 def settle(df: DataFrame, name: str, value: Column) -> DataFrame:

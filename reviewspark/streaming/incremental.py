@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewspark.operators.aggregate import merge_counts, sentiment_counts
-from reviewspark.operators.themes import assign_vectors, pack_vectors
+from reviewspark.operators.themes import nearest_vectors
 from reviewspark.sources.raw_json import flatten, products
 
 
@@ -80,8 +80,7 @@ def move_centroids(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         state = spark.read.parquet(f"{target}/state={batch_id - 1}")
-        packed = pack_vectors(centroids_of(state), [])
-        placed = assign_vectors(batch, packed, vector, [], metric="euclidean")
+        placed = nearest_vectors(batch, centroids_of(state), vector, [], metric="euclidean")
         added = (
             placed.select("topic_id", F.posexplode(vector).alias("dim", "x"))
             .groupBy("topic_id", "dim")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.operators import aggregate, clusters, ranking, resume, sampling, summaries, themes
 from reviewspark.plans import report
-from reviewspark.runtime import broadcast_if_small
+from reviewspark.runtime import broadcast_if_small, fits
 from reviewspark.sources.themes import parse_themes
 
 # The summarisers below are sent to the workers, which cannot import this file.
@@ -158,13 +158,33 @@ def test_assignment_edges(spark, dictionary):
 
 def test_assignment_without_broadcast(spark, dictionary):
     packed = themes.pack_seeds(dictionary)
-    assert broadcast_if_small(packed, row_bytes=100, limit=100) is packed
+    assert broadcast_if_small(packed, F.lit(100), limit=100) is packed
     vectors = themes.term_vectors(review_frame(spark), "review")
     plain = themes.assign_terms(vectors, packed).select("review_id", "topic_id").collect()
     hinted = themes.assign_by_text(review_frame(spark), dictionary).select("review_id", "topic_id").collect()
     assert set(plain) == set(hinted)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("keys", [[], ["app_id"]])
+def test_batches_equal_expressions(spark, metric, keys):
+    """Both ways to the nearest centroid agree: ties, zero and missing vectors, products without themes."""
+    rng = np.random.default_rng(4)
+    points = [(i, i % 4, [float(x) for x in rng.integers(-2, 3, 5)]) for i in range(300)]
+    points += [(900, 1, [0.0] * 5), (901, 1, None)]
+    df = spark.createDataFrame(points, "id int, app_id int, v array<float>")
+    centres = [(a, t, [float(x) for x in rng.integers(-2, 3, 5)]) for a in range(3) for t in range(3)]
+    centres += [(a, 3, centres[a * 3][2]) for a in range(3)] + [(a, 4, [0.0] * 5) for a in range(3)]
+    centroids = spark.createDataFrame(centres, "app_id int, topic_id int, centroid array<double>")
+    if not keys:
+        centroids = centroids.filter("app_id = 0").drop("app_id")
+    assert fits(centroids, F.size("centroid") * 8) and not fits(centroids, F.size("centroid") * 8, 100)
+    batches = themes.nearest_vectors(df, centroids, "v", keys, metric)
+    joined = themes.assign_vectors(df, themes.pack_vectors(centroids, keys), "v", keys, metric)
+    columns = ["id", "topic_id", F.round("similarity", 6).alias("s")]
+    assert set(batches.select(*columns).collect()) == set(joined.select(*columns).collect())
+
+
 def test_report_edges(spark, dictionary):
     counts = report.theme_report(review_frame(spark).filter("review is not null"), dictionary)
     rows = {(r.app_id, r.topic_id): r for r in counts.collect()}
