@@ -60,28 +60,24 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Equal values are counted first. Their counts are summed over about `buckets` spans
-    per group, which tells the span each wanted rank falls in; only the distinct
-    values of those spans are put in order. Spans widen with the logarithm of the value,
-    so a long tail does not press the bulk into one of them.
+    Rows are first counted in about `buckets` spans of value per group, combined in the
+    map tasks, which tells the span each wanted rank falls in. Only the rows of those
+    spans go on: their values are counted and put in order. Spans widen with the
+    logarithm of the value, so a long tail does not press the bulk into one of them.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    lowest = counted.agg(F.min("_v")).scalar()
-    reach = counted.agg(F.max("_v") - F.min("_v")).scalar()
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    lowest = rows.agg(F.min("_v")).scalar()
+    reach = rows.agg(F.max("_v") - F.min("_v")).scalar()
     # 0 .. 2^20 over the whole range; subtraction, division and log keep the order.
-    scaled = (F.col("_v") - lowest) / reach * float(1 << 20)
-    counted = counted.withColumn(
+    scaled = F.try_divide(F.col("_v") - lowest, reach) * float(1 << 20)
+    rows = rows.withColumn(
         "_b", F.when(reach > 0, F.floor(F.log2(scaled + 1) * (buckets / 20))).otherwise(F.lit(0))
     )
     whole = Window.partitionBy(*group)
     ordered = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = (
-        counted.groupBy(*group, "_b")
-        .agg(F.sum("_n").alias("_in"))
+        rows.groupBy(*group, "_b")
+        .agg(F.count(F.lit(1)).alias("_in"))
         .withColumn("_through", F.sum("_in").over(ordered))
         .withColumn("_total", F.sum("_in").over(whole))
         .withColumn("_before", F.col("_through") - F.col("_in"))
@@ -97,7 +93,11 @@ def exact_quantiles(
     )
     spans = spans.filter(wanted).select(*group, "_b", "_before", "_total")
     keys = [*group, "_b"]
-    inside = join_groups(counted, spans, keys)
+    inside = (
+        join_groups(rows, spans, keys)
+        .groupBy(*keys, "_v", "_before", "_total")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     in_span = (
         Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

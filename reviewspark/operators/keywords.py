@@ -73,7 +73,8 @@ def class_tfidf_weights(
     docs: DataFrame, group: str, text: str, stop_words: Iterable[str] = (), decimals: int = 9
 ) -> DataFrame:
     """Class TF-IDF: share of the group's words x ln(1 + words per group / uses of the term)."""
-    uses = (
+    # Read four times below; the texts themselves only here.
+    uses = cut(
         explode_terms(docs, [group], terms_of(F.col(text), stop_words))
         .groupBy(group, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
