@@ -11,6 +11,8 @@ from reviewspark.schema import REPORT_NAMES
 
 # Larger files are split, so that one product never becomes one file of any size.
 ROWS_PER_FILE = 5_000_000
+# A CSV file with line breaks in its fields is read back by one task.
+ROWS_PER_CSV = 200_000
 
 
 def write_products(df: DataFrame, path: str, app_id: str = "app_id", mode: str = "overwrite") -> None:
@@ -44,6 +46,7 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "ov
         _lists_as_json(df)
         .write.mode(mode)
         .option("header", True)
+        .option("maxRecordsPerFile", ROWS_PER_CSV)
         .option("quoteAll", quote_all)
         .option("escape", "\\" if quote_all else '"')
         .option("emptyValue", '""')
