@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from reviewspark.llm.common import table
 from reviewspark.llm.line_dedup import dedup_lines
+from reviewspark.llm.license_scan import scan_licences
 from reviewspark.llm.simhash_dedup import simhash_components
+from reviewspark.llm.topk import exact_topk
 from reviewspark.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +68,28 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return filter_urls(pages, pages.join(toxic, "page_id").select("url"), URL_RULES)
 
 
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10""")
+def op4_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query()
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licences(table(spark, sf, "documents")).drop("spans")
+
+
 @query()
 def op7_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
