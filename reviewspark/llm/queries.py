@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.llm.common import table
 from reviewspark.llm.line_dedup import dedup_lines
+from reviewspark.llm.language_cnn import fit_languages, identify_languages
 from reviewspark.llm.license_scan import scan_licences
 from reviewspark.llm.simhash_dedup import simhash_components
 from reviewspark.llm.topk import exact_topk
+from reviewspark.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from reviewspark.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +87,22 @@ def op4_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    learn = docs.filter(remainder(4) != 2).join(labels, "doc_id").filter("toxic in (0, 1)")
+    scored = score_toxicity(docs, fit_toxicity(learn))
+    return scored.select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 @query()
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licences(table(spark, sf, "documents")).drop("spans")
@@ -95,6 +113,14 @@ def op7_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
 
 
+@query()
+def op9_language_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.filter(remainder(5) != 0))
+    return identify_languages(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query("""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
