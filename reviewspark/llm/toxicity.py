@@ -21,14 +21,17 @@ PARTS = 4
 PART = 1500
 BASE_BYTES = 16384
 TAIL_BYTES = 4000
-# A word belongs to a class's own part if it was met in this many different surroundings,
-# and in so many times the share of the other class.
+# A word beginning belongs to a class's own part if it was met in this many different
+# surroundings, and in so many times the share of the other class.
+FIRST, LAST = 4, 6
+# Stands between the first LAST bytes of a word and its rest.
+MARK = b"|"
 LEAST_PLACES = 8
 LIFT = 8.0
 # Only matches of this many bytes count; shorter ones are chance.
 MATCH = 6
-# A window counts by what it saves beyond this many bytes.
-NOISE = 2
+# A window that saves so many bytes saves much.
+MUCH = 5
 THRESHOLD = 0.3
 
 
@@ -44,6 +47,15 @@ def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
         at = stop
 
 
+def marked(text: str | None) -> bytes:
+    """A whole text in lower case, one space between words, the beginnings of long words set off.
+
+    The mark ties a match to a word's beginning: the same syllables inside a word are no match.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return b" ".join([w if len(w) <= LAST else w[:LAST] + MARK + w[LAST:] for w in words])
+
+
 def _places(texts: list[bytes]) -> Counter:
     """Different surroundings (word before, word after) of each word: copies of a text count once."""
     met = set()
@@ -53,11 +65,31 @@ def _places(texts: list[bytes]) -> Counter:
     return Counter(w for _, w, _ in met)
 
 
-def _own_words(own: Counter, other: Counter) -> list[bytes]:
-    """Words that a class has and the other has not, the most frequent last."""
+def _beginnings(places: Counter) -> Counter:
+    """The same by the first FIRST to LAST bytes of a word, and by whole words up to LAST bytes."""
+    out: Counter = Counter()
+    for w, n in places.items():
+        for k in range(min(FIRST, len(w)), min(LAST, len(w)) + 1):
+            out[w[:k]] += n
+    return out
+
+
+def _own_pieces(own: Counter, other: Counter) -> list[bytes]:
+    """Beginnings of LAST bytes that a class has and the other has not, as they stand in a marked
+    text, the most frequent last. A shorter beginning that qualifies qualifies all its longer ones.
+    """
     n_own, n_other = max(1, own.total()), max(1, other.total())
-    found = [(n, w) for w, n in own.items() if n >= LEAST_PLACES and n / n_own > LIFT * (other[w] + 1) / n_other]
-    return [w for _, w in sorted(found)]
+    mine, theirs = _beginnings(own), _beginnings(other)
+
+    def stands(b: bytes) -> bool:
+        n = mine[b]
+        return n >= LEAST_PLACES and n / n_own > LIFT * (theirs[b] + 1) / n_other
+
+    pieces: Counter = Counter()
+    for w, n in own.items():
+        if any(stands(w[:k]) for k in range(min(FIRST, len(w)), min(LAST, len(w)) + 1)):
+            pieces[b" " + (w[:LAST] + MARK if len(w) > LAST else w) + b" "] += n
+    return [p for n, p in sorted((n, p) for p, n in pieces.items())]
 
 
 @dataclass
@@ -83,9 +115,10 @@ class ToxicityModel:
 
 
 def features(text: str | None, compressors: tuple) -> tuple[float, ...]:
-    """Of a whole text: mean and largest saving of a window, mean beyond the noise, share and number beyond it."""
+    """Of a whole text: mean and largest saving of a window, mean and sum of what is saved, share of
+    windows that save much and that save at all, number of windows."""
     toxic, ordinary = compressors
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    data = marked(text)
     n = total = beyond = many = 0
     most = top = 0
     for w in windows(data):
@@ -93,16 +126,16 @@ def features(text: str | None, compressors: tuple) -> tuple[float, ...]:
         n += 1
         total += saved
         most = max(most, saved)
-        if saved > NOISE:
-            beyond += saved - NOISE
-            many += saved > 2 * NOISE
+        if saved > 0:
+            beyond += saved
+            many += saved >= MUCH
             top += 1
     k = max(1, n)
     return (total / k, float(most), beyond / k, min(beyond, 40.0), many / k, top / k, float(np.log1p(n)))
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
-    """With the square root of the mean beyond the noise, and a constant."""
+    """With the square roots of mean and share, and a constant."""
     return np.column_stack([x, np.sqrt(x[:, 2]), np.sqrt(x[:, 4]), np.ones(len(x))])
 
 
@@ -124,21 +157,21 @@ def fit_toxicity(
     """Dictionaries and calibration from at most `texts` texts of each class in `rows`; None without both classes.
 
     Each dictionary is a part trained on ordinary windows, the same in both so that common
-    language costs alike, and a part of its class's own words. The calibration is a logistic
+    language costs alike, and a part of its class's own pieces. The calibration is a logistic
     regression on the sample's features, weighted to the classes' real shares.
     """
     sample, counts = labelled_sample(rows, label_col, text_col, texts, PARTS, PART)
-    by = {y: [p.encode("utf-8", "surrogatepass").lower() for label, ps in sample if label == y for p in ps] for y in (0, 1)}
+    by = {y: [p for label, ps in sample if label == y for p in ps] for y in (0, 1)}
     if not by[0] or not by[1]:
         return None
-    plain = [w for t in by[0] for w in windows(t, 256)]
+    plain = [w for t in by[0] for w in windows(marked(t), 256)]
     plain = plain[:: max(1, len(plain) // 20000)]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, plain, level=3).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer
         base = b""
-    places = {y: _places(by[y]) for y in (0, 1)}
-    tail = {y: b" " + b" ".join(_own_words(places[y], places[1 - y]))[-TAIL_BYTES:] + b" " for y in (0, 1)}
+    places = {y: _places([p.encode("utf-8", "surrogatepass").lower() for p in by[y]]) for y in (0, 1)}
+    tail = {y: b"".join(_own_pieces(places[y], places[1 - y]))[-TAIL_BYTES:] for y in (0, 1)}
     # Both of one length, so that distances into the common part cost the same.
     filler = b" ".join(plain[-200:])
     size = len(tail[1])
