@@ -11,6 +11,7 @@ from reviewspark.llm.common import table
 from reviewspark.llm.line_dedup import dedup_lines
 from reviewspark.llm.language_cnn import fit_languages, identify_languages
 from reviewspark.llm.license_scan import scan_licences
+from reviewspark.llm.pieces import PieceModel, encode_texts
 from reviewspark.llm.simhash_dedup import simhash_components
 from reviewspark.llm.topk import exact_topk
 from reviewspark.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
@@ -113,6 +114,11 @@ def op7_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
 
 
+@query()
+def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_texts(table(spark, sf, "documents"), PieceModel.load())
+
+
 @query()
 def op9_language_cnn(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
