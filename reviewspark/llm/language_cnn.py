@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewspark.llm.common import text_key
 from reviewspark.llm.samples import labelled_sample
 
 WINDOW = 192
@@ -150,13 +151,28 @@ def predict(model: ByteNetwork, texts: list[str | None]) -> list[tuple[str, floa
 
 
 def fit_languages(
-    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS_PER_LANGUAGE, parts: int = PARTS
+    rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    texts: int = TEXTS_PER_LANGUAGE, parts: int = PARTS,
 ) -> ByteNetwork:
-    """A network trained on at most `texts` texts of each language in `rows`, `parts` parts of each."""
-    sample, _ = labelled_sample(rows, lang_col, text_col, texts, parts, WINDOW)
+    """A network trained on at most `texts` texts of each language in `rows`, `parts` parts of each.
+
+    Every part is learnt from whole and once more cut down to a few words, as short texts are.
+    """
+    labelled = rows.select(
+        F.col(id_col).cast("long").alias("_id"), F.when(F.col(text_col) != "", text_key(text_col)).alias("_key"),
+        F.col(lang_col).alias("_label"))
+    sample, _ = labelled_sample(rows, labelled, id_col, text_col, texts, parts, WINDOW)
     languages = sorted({label for label, _ in sample})
     model = ByteNetwork.fresh(languages)
     pairs = [(p, languages.index(label)) for label, ps in sample for p in ps if any(map(str.isalpha, p))]
+    rng = np.random.default_rng(3)
+    for part, language in list(pairs):
+        words = part.split(" ")
+        n = int(rng.integers(1, 9))
+        at = int(rng.integers(0, max(1, len(words) - n)))
+        short = " ".join(words[at : at + n])
+        if any(map(str.isalpha, short)):
+            pairs.append((short[:1].upper() + short[1:] if rng.random() < 0.5 else short, language))
     if pairs:
         x, of, _ = byte_windows([p for p, _ in pairs])
         model.train(x, np.array([y for _, y in pairs])[of])

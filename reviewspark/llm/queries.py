@@ -97,8 +97,7 @@ def remainder(n: int) -> Column:
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
-    learn = docs.filter(remainder(4) != 2).join(labels, "doc_id").filter("toxic in (0, 1)")
-    scored = score_toxicity(docs, fit_toxicity(learn))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels.filter(remainder(4) != 2)))
     return scored.select(
         "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

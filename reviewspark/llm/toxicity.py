@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewspark.llm.common import text_key
 from reviewspark.llm.samples import labelled_sample
 
 WINDOW = 96
@@ -152,15 +153,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rid
 
 
 def fit_toxicity(
-    rows: DataFrame, text_col: str = "text", label_col: str = "toxic", texts: int = TEXTS_PER_CLASS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    texts: int = TEXTS_PER_CLASS,
 ) -> ToxicityModel | None:
-    """Dictionaries and calibration from at most `texts` texts of each class in `rows`; None without both classes.
+    """Dictionaries and calibration from at most `texts` texts of each class; None without both classes.
+
+    `labels` has (id, label) of the documents to learn from; other labels than 0 and 1, null
+    ids and documents that are null or empty are left out.
 
     Each dictionary is a part trained on ordinary windows, the same in both so that common
     language costs alike, and a part of its class's own pieces. The calibration is a logistic
     regression on the sample's features, weighted to the classes' real shares.
     """
-    sample, counts = labelled_sample(rows, label_col, text_col, texts, PARTS, PART)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.when(F.col(text_col) != "", text_key(text_col)).alias("_key"))
+    marks = labels.filter(F.col(label_col).isin(0, 1)).select(
+        F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    sample, counts = labelled_sample(docs, rows.join(marks, "_id"), id_col, text_col, texts, PARTS, PART)
     by = {y: [p for label, ps in sample if label == y for p in ps] for y in (0, 1)}
     if not by[0] or not by[1]:
         return None
