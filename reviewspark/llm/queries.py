@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.llm.common import table
 from reviewspark.llm.line_dedup import dedup_lines
+from reviewspark.llm.decontaminate import benchmark_hits
 from reviewspark.llm.language_cnn import fit_languages, identify_languages
 from reviewspark.llm.license_scan import scan_licences
 from reviewspark.llm.pieces import PieceModel, encode_texts
@@ -71,6 +72,12 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return filter_urls(pages, pages.join(toxic, "page_id").select("url"), URL_RULES)
 
 
+@query()
+def op3_benchmark_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark item; clean documents have no row."""
+    return benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_key")
+
+
 @query("""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
