@@ -204,3 +204,22 @@ def identify_languages(docs: DataFrame, model: ByteNetwork, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(keep or []), F.col(text_col).alias("_lang_text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: ByteNetwork, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of `docs` whose language the network tells, columns unchanged.
+
+    Rejected are texts that give `und` (null, empty, no letter) and those whose best
+    language has a chance under `least`. Rows pass through with all their columns, so
+    nothing is joined or shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at_text = b.schema.get_field_index(text_col)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                said = predict(model, part.column(at_text).to_pylist())
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
