@@ -12,6 +12,7 @@ from reviewspark.llm.line_dedup import dedup_lines
 from reviewspark.llm.decontaminate import benchmark_hits
 from reviewspark.llm.language_cnn import fit_languages, identify_languages
 from reviewspark.llm.license_scan import scan_licences
+from reviewspark.llm.passages import repeated_passages
 from reviewspark.llm.pieces import PieceModel, encode_texts
 from reviewspark.llm.simhash_dedup import simhash_components
 from reviewspark.llm.topk import exact_topk
@@ -47,6 +48,12 @@ _RULES_SQL = ", ".join(
 )
 
 
+@query()
+def op1_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share a passage of 50 words or more; clean documents have no row."""
+    return repeated_passages(table(spark, sf, "documents"))
+
+
 @query(f"""
 WITH rules AS (SELECT * FROM (VALUES {_RULES_SQL}) r(word, rule, name, start)),
 rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
