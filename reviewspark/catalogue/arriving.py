@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewspark.catalogue.binding import table
 from reviewspark.catalogue.registry import query
 from reviewspark.operators.aggregate import mean_vector
-from reviewspark.operators.themes import assign_vectors, pack_vectors
+from reviewspark.operators.themes import nearest_vectors
 from reviewspark.runtime import cut, work_dir
 from reviewspark.streaming import incremental
 
@@ -41,16 +41,16 @@ c AS (SELECT topic_id, list(x ORDER BY dim) AS c FROM m GROUP BY 1),
 b AS (SELECT vec_id, topic_id FROM vectors, c
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding, c), 9) DESC, topic_id) = 1)
 SELECT topic_id, count(*) AS review_count, count(*) FILTER (WHERE l.quality = 1) AS positive,
-  count(*) - count(*) FILTER (WHERE l.quality = 1) AS negative
+  count(*) FILTER (WHERE l.quality <> 1) AS negative, count(*) FILTER (WHERE l.quality IS NULL) AS unvoted
 FROM b LEFT JOIN labels l ON l.doc_id = b.vec_id GROUP BY 1""")
 def incremental_theme_counts(spark, sf):
-    packed = pack_vectors(_centres(spark, sf), [])
+    centres = _centres(spark, sf)
     votes = table(spark, sf, "labels").select(
         F.col("doc_id").alias("vec_id"), (F.col("quality") == 1).alias("voted_up")
     )
 
     def assign(batch):
-        return assign_vectors(batch, packed, "embedding", []).join(votes, "vec_id", "left")
+        return nearest_vectors(batch, centres, "embedding", []).join(votes, "vec_id", "left")
 
     target, checkpoint = work_dir(spark, "counts"), work_dir(spark, "progress")
     stream = _stream(spark, sf, "embeddings")
@@ -73,3 +73,22 @@ def incremental_centroids(spark, sf):
     return incremental.latest_centroids(spark, target).select(
         "topic_id", F.posexplode("centroid").alias("dim", "x")
     ).withColumn("x", F.round("x", 6))
+
+
+@query(f"""WITH {_VECTORS}, d AS (SELECT label AS topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors),
+m AS (SELECT topic_id, dim, avg(x) AS x FROM d GROUP BY ALL),
+c AS (SELECT topic_id, list(x ORDER BY dim) AS c FROM m GROUP BY 1),
+b AS (SELECT vec_id, embedding, topic_id FROM vectors, c
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding, c) ** 2, 9), topic_id) = 1),
+a AS (SELECT topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM b),
+s AS (SELECT topic_id, dim, avg(x) AS x FROM (SELECT topic_id, dim, x FROM m UNION ALL SELECT topic_id, dim, x FROM a) GROUP BY ALL),
+e AS (SELECT topic_id, list(x ORDER BY dim) AS c FROM s GROUP BY 1)
+SELECT vec_id, topic_id FROM vectors, e
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding, c) ** 2, 9), topic_id) = 1""")
+def incremental_labels(spark, sf):
+    """Every batch labelled by the centroids that it has moved."""
+    target, labels, checkpoint = (work_dir(spark, x) for x in ("centroids", "labels", "progress"))
+    stream = _stream(spark, sf, "embeddings")
+    incremental.move_centroids(
+        stream, _centres(spark, sf), "embedding", target, checkpoint, labels=labels, key="vec_id").awaitTermination()
+    return spark.read.parquet(labels).select("vec_id", "topic_id")

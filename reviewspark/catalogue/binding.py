@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.runtime import spread
+from reviewspark.sources.reviews import usable_reviews
 from reviewspark.sources.themes import parse_themes
 
 LANGUAGE = "en"
@@ -38,8 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents on all cores (a small table may be one split)."""
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,13 +56,14 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(votes, "review_id", "left")
 
 
+def english_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews in the report language, with a vote or without."""
+    return usable_reviews(reviews(spark, sf), LANGUAGE)
+
+
 def voted_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """Reviews in the report language that carry a vote."""
-    return reviews(spark, sf).filter(
-        (F.col("review_language") == LANGUAGE)
-        & F.col("review").isNotNull()
-        & F.col("voted_up").isNotNull()
-    )
+    """English reviews that carry a vote, for queries about votes alone."""
+    return english_reviews(spark, sf).filter(F.col("voted_up").isNotNull())
 
 
 def themes(spark: SparkSession) -> DataFrame:
@@ -76,7 +76,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("vec_id"),
         F.regexp_extract("source", "[0-9]+", 0).try_cast("int").alias("app_id"),
     )
-    return spread(table(spark, sf, "embeddings"), "vec_id").join(docs, "vec_id")
+    return table(spark, sf, "embeddings").join(docs, "vec_id")
 
 
 def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,9 +95,9 @@ REVIEWS_SQL = f"""reviews AS (
   SELECT {APP} AS app_id, d.doc_id AS review_id, d.text AS review, d.lang AS review_language,
          d.n_chars AS votes_up, l.quality = 1 AS voted_up
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-VOTED_SQL = REVIEWS_SQL + f""", voted AS (
-  SELECT * FROM reviews
-  WHERE review_language = '{LANGUAGE}' AND review IS NOT NULL AND voted_up IS NOT NULL)"""
+ENGLISH_SQL = REVIEWS_SQL + f""", english AS (
+  SELECT * FROM reviews WHERE review_language = '{LANGUAGE}' AND review IS NOT NULL)"""
+VOTED_SQL = ENGLISH_SQL + ", voted AS (SELECT * FROM english WHERE voted_up IS NOT NULL)"
 VECTORS_SQL = f"""vectors AS (
   SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS embedding, e.label, {APP} AS app_id
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
@@ -119,9 +119,9 @@ def _themes_sql() -> str:
 
 THEMES_SQL = _themes_sql()
 
-# voted reviews -> assigned(review_id, app_id, topic_id, similarity, ...)
+# English reviews -> assigned(review_id, app_id, topic_id, similarity, ...)
 ASSIGNED_SQL = (
-    VOTED_SQL
+    ENGLISH_SQL
     + ", "
     + THEMES_SQL
     + f""", seeds AS (
@@ -139,7 +139,7 @@ centroid AS (
 theme_norm AS (SELECT app_id, topic_id, sqrt(sum(weight * weight)) AS len FROM centroid GROUP BY ALL),
 review_tf AS (
   SELECT app_id, review_id, term, count(*) AS tf
-  FROM (SELECT app_id, review_id, unnest({TOKENS.format('review')}) AS term FROM voted)
+  FROM (SELECT app_id, review_id, unnest({TOKENS.format('review')}) AS term FROM english)
   GROUP BY ALL),
 review_norm AS (SELECT review_id, sqrt(sum(tf * tf)) AS len FROM review_tf GROUP BY ALL),
 dots AS (
@@ -147,7 +147,7 @@ dots AS (
   FROM review_tf r JOIN centroid c ON r.app_id = c.app_id AND r.term = c.term GROUP BY ALL),
 scored AS (
   SELECT v.review_id, t.topic_id, coalesce(round(d.dot / (rn.len * tn.len), 9), 0) AS similarity
-  FROM voted v JOIN themes t ON v.app_id = t.app_id
+  FROM english v JOIN themes t ON v.app_id = t.app_id
   LEFT JOIN dots d ON d.review_id = v.review_id AND d.topic_id = t.topic_id
   LEFT JOIN review_norm rn ON rn.review_id = v.review_id
   LEFT JOIN theme_norm tn ON tn.app_id = t.app_id AND tn.topic_id = t.topic_id),
@@ -156,13 +156,13 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY similarity DESC, topic_id) = 1),
 assigned AS (
   SELECT v.*, coalesce(b.topic_id, 0) AS topic_id, coalesce(b.similarity, 0) AS similarity
-  FROM voted v LEFT JOIN best b USING (review_id))"""
+  FROM english v LEFT JOIN best b USING (review_id))"""
 )
 COUNTED_SQL = (
     ASSIGNED_SQL
     + """, counted AS (
   SELECT app_id, topic_id, count(*) AS review_count, count(*) FILTER (WHERE voted_up) AS positive,
-         count(*) FILTER (WHERE NOT voted_up) AS negative
+         count(*) FILTER (WHERE NOT voted_up) AS negative, count(*) FILTER (WHERE voted_up IS NULL) AS unvoted
   FROM assigned GROUP BY ALL)"""
 )
 THEME_NAME = "coalesce(t.theme, 'Unknown Theme ' || c.topic_id)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewspark.catalogue.binding import APP, documents, table
 from reviewspark.catalogue.registry import query
 from reviewspark.functions import arrays, numbers, text
-from reviewspark.runtime import settle, spread
+from reviewspark.runtime import settle
 
 # All white space of Unicode; RE2 knows only the ASCII part of \s.
 _SPACE = (
@@ -37,7 +37,7 @@ def _review_sql(expression: str) -> str:
 
 @query(f"SELECT page_id, {_markup_sql('html')} AS clean FROM pages")
 def clean_html(spark, sf):
-    pages = spread(table(spark, sf, "pages"), "page_id")
+    pages = table(spark, sf, "pages")
     return pages.select("page_id", text.clean_markup(F.col("html")).alias("clean"))
 
 
@@ -52,7 +52,7 @@ def clean_text(spark, sf):
 @query(f"""SELECT page_id, {_markup_sql("'Site <b>' || url || '</b> & more'")} AS detailed_description,
        {_markup_sql('url')} AS short_description, {_markup_sql('html')} AS review FROM pages""")
 def clean_multi(spark, sf):
-    pages = spread(table(spark, sf, "pages"), "page_id").select(
+    pages = table(spark, sf, "pages").select(
         "page_id",
         F.concat(F.lit("Site <b>"), "url", F.lit("</b> & more")).alias("detailed_description"),
         F.col("url").alias("short_description"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewspark.catalogue.binding import THEMES_SQL, TOKENS, VECTORS_SQL, VOTED_SQL, themes, vectors, voted_reviews
+from reviewspark.catalogue.binding import THEMES_SQL, TOKENS, VECTORS_SQL, ENGLISH_SQL, themes, vectors, english_reviews
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import clusters
 from reviewspark.operators.aggregate import mean_vector
@@ -51,9 +51,9 @@ def per_product_fit(spark, sf):
 
 
 def _text_kmeans_sql(rounds: int) -> str:
-    sql = VOTED_SQL + ", " + THEMES_SQL + f""",
+    sql = ENGLISH_SQL + ", " + THEMES_SQL + f""",
 rt AS (SELECT app_id, review_id, term, count(*) AS tf FROM (
-  SELECT app_id, review_id, unnest({TOKENS.format('review')}) AS term FROM voted) GROUP BY ALL),
+  SELECT app_id, review_id, unnest({TOKENS.format('review')}) AS term FROM english) GROUP BY ALL),
 rl AS (SELECT review_id, sqrt(sum(tf * tf)) AS len FROM rt GROUP BY 1),
 x AS (SELECT app_id, review_id, term, tf / len AS w FROM rt JOIN rl USING (review_id)),
 st AS (SELECT app_id, topic_id, term, count(*) AS tf FROM (
@@ -63,7 +63,7 @@ c0 AS (SELECT app_id, topic_id, term, tf / len AS w FROM st JOIN sl USING (app_i
     for i in range(rounds + 1):
         sql += f""", l{i} AS (SELECT app_id, topic_id, sum(w * w) AS c2 FROM c{i} GROUP BY ALL),
 dot{i} AS (SELECT x.review_id, c.topic_id, sum(x.w * c.w) AS xc FROM x JOIN c{i} c ON x.app_id = c.app_id AND x.term = c.term GROUP BY ALL),
-p{i} AS (SELECT v.app_id, v.review_id, l.topic_id FROM voted v JOIN l{i} l ON v.app_id = l.app_id
+p{i} AS (SELECT v.app_id, v.review_id, l.topic_id FROM english v JOIN l{i} l ON v.app_id = l.app_id
   LEFT JOIN dot{i} d ON d.review_id = v.review_id AND d.topic_id = l.topic_id
   QUALIFY row_number() OVER (PARTITION BY v.review_id ORDER BY round(c2 - 2 * coalesce(xc, 0), 9), l.topic_id) = 1),
 z{i} AS (SELECT app_id, topic_id, count(*) AS n FROM p{i} GROUP BY ALL),
@@ -74,9 +74,10 @@ c{i + 1} AS (
     return sql
 
 
-@query("WITH " + _text_kmeans_sql(_ROUNDS) + f" SELECT app_id, review_id, topic_id FROM p{_ROUNDS}")
+@query("WITH " + _text_kmeans_sql(_ROUNDS) + f"""
+SELECT v.app_id, v.review_id, coalesce(p.topic_id, 0) AS topic_id FROM english v LEFT JOIN p{_ROUNDS} p USING (review_id)""")
 def seeded_text_kmeans(spark, sf):
-    texts = voted_reviews(spark, sf).select("app_id", "review_id", "review")
+    texts = english_reviews(spark, sf).select("app_id", "review_id", "review")
     docs = cut(unit_weights(term_vectors(texts, "review"), "terms", "weights").select("app_id", "review_id", "weights"))
     words = themes(spark).filter(F.size("seeds") > 0).withColumn("seed", F.array_join("seeds", " "))
     seeds = unit_weights(term_vectors(words, "seed"), "terms", "weights").select(

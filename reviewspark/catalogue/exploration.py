@@ -48,7 +48,7 @@ def top_tail(spark, sf):
 
 @query(f"""WITH {REVIEWS_SQL}
 SELECT app_id, count(*) AS review_count, sum(voted_up::INT)::BIGINT AS positive,
-       (count(*) - sum(voted_up::INT))::BIGINT AS negative,
+       (count(*) - sum(voted_up::INT))::BIGINT AS negative, 0::BIGINT AS unvoted,
        round(sum(voted_up::INT) / count(*), 6) AS positive_ratio
 FROM reviews WHERE voted_up IS NOT NULL GROUP BY 1 HAVING count(*) >= 10
 ORDER BY sum(voted_up::INT) / count(*) DESC, app_id LIMIT 20""")

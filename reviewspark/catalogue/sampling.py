@@ -80,12 +80,11 @@ def chunk_texts(spark, sf):
     return ranking.chunk_texts(turns, ["role"], "id", "text", 16)
 
 
-@query("""WITH r AS (SELECT lang, length(text) AS len, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS row_no FROM documents),
-m AS (SELECT lang, avg(len) AS m FROM r WHERE row_no <= 100 GROUP BY 1)
+@query("""WITH m AS (SELECT lang, avg(length(text)) AS m FROM documents GROUP BY 1)
 SELECT lang, round(m, 6) AS mean_length, CASE WHEN m < 100 THEN 400 WHEN m > 500 THEN 100 ELSE 200 END::INT AS chunk_size FROM m""")
 def adaptive_chunk_size(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "doc_id", "text")
-    sizes = summaries.chunk_sizes(docs, ["lang"], "doc_id", "text", 200)
+    sizes = summaries.chunk_sizes(docs, ["lang"], "text", 200)
     return sizes.withColumn("mean_length", F.round("mean_length", 6))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.catalogue.binding import (
     ASSIGNED_SQL, COUNTED_SQL, LANGUAGE, REVIEWS_SQL, THEME_NAME, THEMES_SQL, VECTORS_SQL, percent_sql,
-    reviews, table, themes, vectors, voted_reviews,
+    english_reviews, reviews, table, themes, vectors, voted_reviews,
 )
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import aggregate, ranking
@@ -33,7 +33,7 @@ def _vector_themes(points):
 
 
 def _assigned(spark, sf):
-    return assign_by_text(voted_reviews(spark, sf), themes(spark))
+    return assign_by_text(english_reviews(spark, sf), themes(spark))
 
 
 @query("WITH " + _CENTROID_SQL + " SELECT app_id, topic_id, (dim - 1)::INT AS dim, round(x, 6) AS x FROM means")
@@ -71,40 +71,41 @@ def theme_assignment_text(spark, sf):
 
 
 @query("WITH " + COUNTED_SQL + f"""
-SELECT c.app_id, c.topic_id, {THEME_NAME} AS theme, review_count, positive, negative,
-  {percent_sql('positive', 'review_count')} AS like_ratio,
-  {percent_sql('negative', 'review_count')} AS dislike_ratio
+SELECT c.app_id, c.topic_id, {THEME_NAME} AS theme, review_count, positive, negative, unvoted,
+  {percent_sql('positive', '(positive + negative)')} AS like_ratio,
+  {percent_sql('negative', '(positive + negative)')} AS dislike_ratio
 FROM counted c LEFT JOIN themes t ON t.app_id = c.app_id AND t.topic_id = c.topic_id""")
 def theme_report(spark, sf):
-    return report.theme_report(voted_reviews(spark, sf), themes(spark)).orderBy(
+    return report.theme_report(english_reviews(spark, sf), themes(spark)).orderBy(
         F.desc("review_count"), "app_id", "topic_id"
     )
 
 
 @query("WITH " + COUNTED_SQL + f""", filled AS (
   SELECT t.app_id, t.topic_id, t.theme, coalesce(review_count, 0) AS review_count,
-         coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative
+         coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, coalesce(unvoted, 0) AS unvoted
   FROM themes t LEFT JOIN counted c ON t.app_id = c.app_id AND t.topic_id = c.topic_id)
-SELECT *, {percent_sql('positive', 'review_count')} AS like_ratio,
-  {percent_sql('negative', 'review_count')} AS dislike_ratio FROM filled""")
+SELECT *, {percent_sql('positive', '(positive + negative)')} AS like_ratio,
+  {percent_sql('negative', '(positive + negative)')} AS dislike_ratio FROM filled""")
 def theme_report_completed(spark, sf):
-    counts = report.theme_report(voted_reviews(spark, sf), themes(spark))
+    counts = report.theme_report(english_reviews(spark, sf), themes(spark))
     return report.completed(counts, themes(spark))
 
 
 @query("WITH " + _VECTOR_BEST_SQL + f""", voted AS (
-  SELECT b.app_id, b.topic_id, l.quality = 1 AS voted_up FROM best b JOIN labels l ON l.doc_id = b.vec_id),
+  SELECT b.app_id, b.topic_id, l.quality = 1 AS voted_up FROM best b LEFT JOIN labels l ON l.doc_id = b.vec_id),
 c AS (SELECT app_id, topic_id, count(*) AS review_count, count(*) FILTER (WHERE voted_up) AS positive,
-             count(*) FILTER (WHERE NOT voted_up) AS negative FROM voted GROUP BY ALL)
-SELECT app_id, topic_id, review_count, positive, negative, {percent_sql('positive', 'review_count')} AS like_ratio,
-  {percent_sql('negative', 'review_count')} AS dislike_ratio FROM c""")
+             count(*) FILTER (WHERE NOT voted_up) AS negative, count(*) FILTER (WHERE voted_up IS NULL) AS unvoted
+      FROM voted GROUP BY ALL)
+SELECT app_id, topic_id, review_count, positive, negative, unvoted, {percent_sql('positive', '(positive + negative)')} AS like_ratio,
+  {percent_sql('negative', '(positive + negative)')} AS dislike_ratio FROM c""")
 def theme_report_vectors(spark, sf):
     points = vectors(spark, sf)
     placed = nearest_vectors(points, _vector_themes(points), "embedding", ["app_id"]).select("vec_id", *report.KEYS)
     votes = table(spark, sf, "labels").select(
         F.col("doc_id").alias("vec_id"), (F.col("quality") == 1).alias("voted_up")
     )
-    return report.with_ratios(aggregate.sentiment_counts(placed.join(votes, "vec_id"), *report.KEYS))
+    return report.with_ratios(aggregate.sentiment_counts(placed.join(votes, "vec_id", "left"), *report.KEYS))
 
 
 @query("WITH " + ASSIGNED_SQL + """, placed AS (
@@ -128,9 +129,10 @@ def theme_review_lists(spark, sf):
 pages AS (
   SELECT app_id, topic_id, page, count(*) FILTER (WHERE voted_up)::INT AS n_pos, count(*) FILTER (WHERE NOT voted_up)::INT AS n_neg,
     coalesce(md5(string_agg(review, '|' ORDER BY review_id) FILTER (WHERE voted_up)), md5('')) AS pos_hash,
-    coalesce(md5(string_agg(review, '|' ORDER BY review_id) FILTER (WHERE NOT voted_up)), md5('')) AS neg_hash
+    coalesce(md5(string_agg(review, '|' ORDER BY review_id) FILTER (WHERE NOT voted_up)), md5('')) AS neg_hash,
+    coalesce(md5(string_agg(review, '|' ORDER BY review_id) FILTER (WHERE voted_up IS NULL)), md5('')) AS open_hash
   FROM pos GROUP BY ALL)
-SELECT c.app_id, {THEME_NAME} AS theme, review_count, page, n_pos, n_neg, pos_hash, neg_hash
+SELECT c.app_id, {THEME_NAME} AS theme, review_count, page, n_pos, n_neg, pos_hash, neg_hash, open_hash
 FROM counted c JOIN pages p USING (app_id, topic_id)
 LEFT JOIN themes t ON t.app_id = c.app_id AND t.topic_id = c.topic_id""")
 def theme_report_pages(spark, sf):
@@ -142,13 +144,14 @@ def theme_report_pages(spark, sf):
         "app_id", "theme", "review_count", "page",
         F.size("positive_reviews").alias("n_pos"), F.size("negative_reviews").alias("n_neg"),
         digest("positive_reviews").alias("pos_hash"), digest("negative_reviews").alias("neg_hash"),
+        digest("unvoted_reviews").alias("open_hash"),
     )
 
 
 @query("WITH " + COUNTED_SQL + f"""
-SELECT c.app_id, c.topic_id, {THEME_NAME} AS theme, review_count, positive, negative,
-  {percent_sql('positive', 'review_count')} AS like_ratio,
-  {percent_sql('negative', 'review_count')} AS dislike_ratio
+SELECT c.app_id, c.topic_id, {THEME_NAME} AS theme, review_count, positive, negative, unvoted,
+  {percent_sql('positive', '(positive + negative)')} AS like_ratio,
+  {percent_sql('negative', '(positive + negative)')} AS dislike_ratio
 FROM counted c LEFT JOIN themes t ON t.app_id = c.app_id AND t.topic_id = c.topic_id""")
 def partial_final_equivalence(spark, sf):
     partials = report.partial_counts(_assigned(spark, sf), "review_id", 100)
@@ -156,7 +159,7 @@ def partial_final_equivalence(spark, sf):
 
 
 @query("WITH " + COUNTED_SQL + f"""
-SELECT c.app_id, c.topic_id, {THEME_NAME} AS theme, positive AS likes, negative AS dislikes
+SELECT c.app_id, c.topic_id, {THEME_NAME} AS theme, positive AS likes, negative AS dislikes, unvoted
 FROM counted c LEFT JOIN themes t ON t.app_id = c.app_id AND t.topic_id = c.topic_id""")
 def theme_sentiment_pivot(spark, sf):
     return report.sentiment_pivot(_assigned(spark, sf), themes(spark))
@@ -180,31 +183,31 @@ def first_example_per_theme(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY app_id, topic_id, voted_up ORDER BY review_id) AS sample_no FROM assigned)
 SELECT app_id, topic_id, voted_up, sample_no, review_id,
   CASE WHEN length(review) > 300 THEN substring(review, 1, 300) || '...' ELSE review END AS sample
-FROM placed WHERE sample_no <= 5""")
+FROM placed WHERE sample_no <= 5 AND voted_up IS NOT NULL""")
 def samples_per_group(spark, sf):
     assigned = cut(_assigned(spark, sf).select("review_id", *report.KEYS, "voted_up", "review"))
     return report.sample_reviews(assigned, "review_id", "review")
 
 
 @query("WITH " + ASSIGNED_SQL + """
-SELECT count(*) AS listed_rows, (SELECT count(*) FROM voted) AS source_rows,
-       count(*) = (SELECT count(*) FROM voted) AS matches FROM assigned""")
+SELECT count(*) AS listed_rows, (SELECT count(*) FROM english) AS source_rows,
+       count(*) = (SELECT count(*) FROM english) AS matches FROM assigned""")
 def reconcile_rows(spark, sf):
     assigned = cut(_assigned(spark, sf).select("review_id", *report.KEYS, "voted_up", "review"))
     pages = report.review_pages(assigned, "review_id", "review", 50)
-    return aggregate.reconcile(pages, "reviews", voted_reviews(spark, sf))
+    return aggregate.reconcile(pages, "reviews", english_reviews(spark, sf))
 
 
 @query("WITH " + COUNTED_SQL + f"""
 SELECT c.app_id AS steam_appid, {THEME_NAME} AS "Theme", review_count AS "#Reviews", positive AS "Positive",
-  negative AS "Negative", {percent_sql('positive', 'review_count')} AS "LikeRatio",
-  {percent_sql('negative', 'review_count')} AS "DislikeRatio"
+  negative AS "Negative", {percent_sql('positive', '(positive + negative)')} AS "LikeRatio",
+  {percent_sql('negative', '(positive + negative)')} AS "DislikeRatio"
 FROM counted c LEFT JOIN themes t ON t.app_id = c.app_id AND t.topic_id = c.topic_id
 WHERE c.app_id = 3 ORDER BY review_count DESC, 2 LIMIT 3""")
 def report_views(spark, sf):
     from reviewspark.sources.sinks import deliver
 
-    chosen = report.drill_down(report.theme_report(voted_reviews(spark, sf), themes(spark)), 3)
+    chosen = report.drill_down(report.theme_report(english_reviews(spark, sf), themes(spark)), 3)
     return deliver(chosen).orderBy(F.desc("#Reviews"), "Theme").limit(3)
 
 

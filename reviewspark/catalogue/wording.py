@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from reviewspark.catalogue.binding import (
-    LABELLED_SQL, STOP_SQL, STOP_WORDS, THEMES_SQL, TOKENS, VOTED_SQL,
-    documents, labelled_texts, themes, voted_reviews,
+    LABELLED_SQL, STOP_SQL, STOP_WORDS, THEMES_SQL, TOKENS, ENGLISH_SQL,
+    documents, english_reviews, labelled_texts, themes,
 )
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import keywords
@@ -18,8 +18,6 @@ from reviewspark.operators.clusters import representatives
 from reviewspark.operators.embedding import assign_embedded
 from reviewspark.operators.themes import assign_vectors, pack_vectors
 from reviewspark.operators.aggregate import counts_by, mean_vector
-from reviewspark.operators.sampling import sample_per_group
-from reviewspark.runtime import cut, spread
 
 
 @query(f"""WITH t AS (SELECT doc_id, CAST('0x' || substring(md5(term), 1, 8) AS BIGINT) % 262144 AS b
@@ -38,12 +36,14 @@ def hashed_vectors(spark, sf):
     )
 
 
+# The queries weigh the most frequent terms only, as they are defined.
+VOCABULARY = 5000
 _TFIDF_SQL = LABELLED_SQL + f""", words AS (
   SELECT topic, doc_id, list_filter({TOKENS.format('text')}, lambda w: w NOT IN {STOP_SQL}) AS w FROM labelled),
 grams AS (
   SELECT topic, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words),
 tf AS (SELECT topic, doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
-vocabulary AS (SELECT term, sum(tf) AS uses, count(*) AS df FROM tf GROUP BY 1 ORDER BY uses DESC, term LIMIT 5000),
+vocabulary AS (SELECT term, sum(tf) AS uses, count(*) AS df FROM tf GROUP BY 1 ORDER BY uses DESC, term LIMIT {VOCABULARY}),
 w AS (SELECT topic, doc_id, term, tf * (ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1) AS w FROM tf JOIN vocabulary USING (term)),
 lengths AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM w GROUP BY 1),
 sizes AS (SELECT topic, count(*) AS n FROM labelled GROUP BY 1),
@@ -56,8 +56,7 @@ tfidf_top AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic
 @query("WITH " + _TFIDF_SQL + " SELECT topic, term, round(weight, 6) AS weight, rank FROM tfidf_top")
 def tfidf_top_terms(spark, sf):
     docs = labelled_texts(spark, sf).select("topic", "doc_id", "text")
-    sampled = spread(cut(sample_per_group(docs, ["topic"], "doc_id", 10_000)), "doc_id")
-    weights = keywords.tfidf_weights(sampled, "topic", "doc_id", "text", stop_words=STOP_WORDS)
+    weights = keywords.tfidf_weights(docs, "topic", "doc_id", "text", vocabulary=VOCABULARY, stop_words=STOP_WORDS)
     return keywords.top_terms(weights, ["topic"]).withColumn("weight", F.round("weight", 6))
 
 
@@ -147,20 +146,20 @@ def _letters():
 _LETTERS = "list_transform(range(97, 123), lambda i: (length(lower({0})) - length(replace(lower({0}), chr(i::INT), '')))::DOUBLE)"
 
 
-@query(f"""WITH {VOTED_SQL}, {THEMES_SQL},
+@query(f"""WITH {ENGLISH_SQL}, {THEMES_SQL},
 seeds AS (SELECT app_id, topic_id, unnest(seeds) AS seed FROM themes),
 seed_vec AS (SELECT app_id, topic_id, {_LETTERS.format('seed')} AS v FROM seeds),
 seed_dims AS (SELECT app_id, topic_id, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM seed_vec),
 means AS (SELECT app_id, topic_id, dim, avg(x) AS x FROM seed_dims GROUP BY ALL),
 centroids AS (SELECT app_id, topic_id, list(x ORDER BY dim) AS c FROM means GROUP BY ALL),
-vec AS (SELECT review_id, app_id, {_LETTERS.format('review')} AS v FROM voted),
+vec AS (SELECT review_id, app_id, {_LETTERS.format('review')} AS v FROM english),
 scored AS (SELECT review_id, topic_id, round(coalesce(nullif(list_cosine_similarity(v, c), 'nan'::DOUBLE), 0), 9) AS s
   FROM vec JOIN centroids USING (app_id)),
 best AS (SELECT review_id, topic_id, s FROM scored QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY s DESC, topic_id) = 1)
 SELECT review_id, app_id, coalesce(topic_id, 0) AS topic_id, round(coalesce(s, 0), 6) AS similarity
-FROM voted LEFT JOIN best USING (review_id)""")
+FROM english LEFT JOIN best USING (review_id)""")
 def embedded_assignment(spark, sf):
-    placed = assign_embedded(voted_reviews(spark, sf).select("review_id", "app_id", "review"), themes(spark), _letters)
+    placed = assign_embedded(english_reviews(spark, sf).select("review_id", "app_id", "review"), themes(spark), _letters)
     return placed.select("review_id", "app_id", "topic_id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -28,9 +28,7 @@ def list_cell(c: Column) -> Column:
     other text (also brackets that do not parse) is one element.
     """
     text = F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    # A printed list writes a missing element as None; JSON spells it null.
-    spelled = F.regexp_replace(text, r"(?<=[\[,])\s*None\s*(?=[,\]])", "null")
-    parsed = F.from_json(spelled, "array<string>", _LENIENT)
+    parsed = F.from_json(_as_json(text), "array<string>", _LENIENT)
     return (
         F.when(text.isNull() | (text == ""), F.array().cast("array<string>"))
         .when(text.startswith("[") & text.endswith("]") & parsed.isNotNull(), drop_nulls(parsed))
@@ -38,6 +36,43 @@ def list_cell(c: Column) -> Column:
     )
 
 
+# A quoted element of a printed list; the group keeps it.
+_QUOTED = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+# Stands for a character that a list may not hold, while its words are looked at.
+_MARK = "\x01"
+
+
+def _as_json(text: Column) -> Column:
+    r"""A printed list as JSON: bare None, True and False, and the escapes \xNN and \UNNNNNNNN."""
+    # Quoted elements are matched first and come back as they are; a bare word gets a mark.
+    out = F.regexp_replace(text, _QUOTED + r"|\b(None|True|False)\b", f"$1{_MARK}$2{_MARK}")
+    for word, json in (("", ""), ("None", "null"), ("True", '"True"'), ("False", '"False"')):
+        out = F.replace(out, F.lit(f"{_MARK}{word}{_MARK}"), F.lit(json))
+    out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    return _wide_escapes(out)
+
+
+def _wide_escapes(text: Column) -> Column:
+    r"""\UNNNNNNNN as the two halves that JSON writes it in."""
+    pieces = F.split(text, r"(?<!\\)(?=(?:\\\\)*\\U[0-9a-fA-F]{8})")
+
+    def half(code: Column) -> Column:
+        over = code - 0x10000
+        return F.concat(
+            F.lit("\\u"), F.lpad(F.hex(F.lit(0xD800) + F.shiftright(over, 10)), 4, "0"),
+            F.lit("\\u"), F.lpad(F.hex(F.lit(0xDC00) + over.bitwiseAND(0x3FF)), 4, "0"))
+
+    def one(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^(?:\\\\)*\\U([0-9a-fA-F]{8})", 1)
+        code = F.conv(digits, 16, 10).cast("int")
+        short = F.concat(F.lit("\\u"), F.substring(digits, 5, 4))
+        return F.when(digits == "", p).otherwise(
+            F.concat(F.regexp_extract(p, r"^((?:\\\\)*)\\U", 1), F.when(code < 0x10000, short).otherwise(half(code)),
+                     F.regexp_replace(p, r"^(?:\\\\)*\\U[0-9a-fA-F]{8}", "")))
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def drop_nulls(c: Column) -> Column:
     return F.filter(c, lambda x: x.isNotNull())
 

@@ -16,26 +16,31 @@ def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 
 
 def sentiment_counts(df: DataFrame, *keys: str, voted_up: str = "voted_up") -> DataFrame:
-    """Reviews, positive and negative per group in one pass."""
-    n = F.count(F.lit(1))
-    liked = F.coalesce(F.sum(F.col(voted_up).cast("int")), F.lit(0))
+    """Reviews, positive, negative and without a vote per group in one pass.
+
+    `review_count` is the sum of the other three; a missing vote is no dislike.
+    """
+    vote = F.col(voted_up)
     return df.groupBy(*keys).agg(
-        n.alias("review_count"), liked.alias("positive"), (n - liked).alias("negative")
+        F.count(F.lit(1)).alias("review_count"),
+        F.count_if(vote).alias("positive"),
+        F.count_if(~vote).alias("negative"),
+        F.count_if(vote.isNull()).alias("unvoted"),
     )
 
 
 def merge_counts(partials: DataFrame, *keys: str) -> DataFrame:
     """Add up partial sentiment counts."""
-    names = ["review_count", "positive", "negative"]
+    names = ["review_count", "positive", "negative", "unvoted"]
     return partials.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def positive_ratio(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """Share of positive rows per group, for groups of at least `least` rows."""
+    """Share of positive votes per group, for groups of at least `least` rows."""
     return (
         sentiment_counts(df, *keys)
         .filter(F.col("review_count") >= least)
-        .withColumn("positive_ratio", ratio(F.col("positive"), F.col("review_count")))
+        .withColumn("positive_ratio", ratio(F.col("positive"), F.col("positive") + F.col("negative")))
     )
 
 
@@ -56,23 +61,21 @@ def most_frequent(df: DataFrame, group: list[str], value: str, out: str) -> Data
 
 
 def exact_quantiles(
-    df: DataFrame, group: list[str], value: str, probs: dict[str, float], buckets: int = 4096
+    df: DataFrame, group: list[str], value: str, probs: dict[str, float], buckets: int = 1024
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Rows are first counted in about `buckets` spans of value per group, combined in the
+    Rows are first counted in at most `buckets` spans of value per group, combined in the
     map tasks, which tells the span each wanted rank falls in. Only the rows of those
-    spans go on: their values are counted and put in order. Spans widen with the
-    logarithm of the value, so a long tail does not press the bulk into one of them.
+    spans go on: their values are counted and put in order. Spans are cut at approximate
+    quantiles of all rows, so that none holds much more than its share but for equal values,
+    which count as one. Nulls and NaN are no values.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    lowest = rows.agg(F.min("_v")).scalar()
-    reach = rows.agg(F.max("_v") - F.min("_v")).scalar()
-    # 0 .. 2^20 over the whole range; subtraction, division and log keep the order.
-    scaled = F.try_divide(F.col("_v") - lowest, reach) * float(1 << 20)
-    rows = rows.withColumn(
-        "_b", F.when(reach > 0, F.floor(F.log2(scaled + 1) * (buckets / 20))).otherwise(F.lit(0))
-    )
+    from reviewspark.operators.ranking import ordered_slice
+
+    rows = df.select(*group, F.col(value).cast("double").alias("_v"))
+    rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumn("_b", ordered_slice(rows, "_v", buckets))
     whole = Window.partitionBy(*group)
     ordered = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = (

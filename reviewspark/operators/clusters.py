@@ -42,7 +42,7 @@ def nearest_terms(
 
     Centres are a long table (app_id, topic_id, term, weight). The squared distance is
     |c|^2 - 2 x.c + 1, so only centres that share a term need a product; the shortest
-    centre stands for all the others.
+    centre stands for all the others. A text whose product has no centre gets topic 0.
     """
     lengths = centres.groupBy("app_id", "topic_id").agg(
         F.sum(F.col("weight") * F.col("weight")).alias("c2")
@@ -63,9 +63,9 @@ def nearest_terms(
     return (
         docs.select("app_id", key)
         .join(shared, ["app_id", key], "left")
-        .join(shortest, "app_id")
+        .join(shortest, "app_id", "left")
         .select("app_id", key, F.least(F.coalesce("near", "far"), "far").alias("best"))
-        .select("app_id", key, F.col("best.topic_id").alias("topic_id"))
+        .select("app_id", key, F.coalesce("best.topic_id", F.lit(0)).alias("topic_id"))
     )
 
 
@@ -80,8 +80,10 @@ def seeded_text_kmeans(
     for _ in range(rounds):
         labels = nearest_terms(docs, centres, key, weights)
         sized = labels.groupBy("app_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+        # A product without seeds has nothing to move: its texts keep topic 0.
+        seeded = labels.join(seeds.select("app_id").distinct(), "app_id", "left_semi")
         moved = (
-            docs.join(labels, ["app_id", key])
+            docs.join(seeded, ["app_id", key])
             .select("app_id", "topic_id", F.inline_outer(weights))
             .filter(F.col("term").isNotNull())
             .groupBy("app_id", "topic_id", "term")

@@ -7,12 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.functions.arrays import with_value
+from reviewspark.functions.arrays import count_terms, with_value
 from reviewspark.functions.text import tokens, without
 from reviewspark.functions.vectors import cosine, dot, norm
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.ranking import top_rows
-from reviewspark.runtime import cut
+from reviewspark.runtime import broadcast_if_small, cut
 
 
 def terms_of(text: Column, stop_words: Iterable[str] = (), bigrams: bool = False) -> Column:
@@ -35,30 +35,24 @@ def top_terms(weights: DataFrame, group: list[str], k: int = 10) -> DataFrame:
 
 
 def tfidf_weights(
-    docs: DataFrame, group: str, key: str, text: str, vocabulary: int = 5000,
+    docs: DataFrame, group: str, key: str, text: str, vocabulary: int | None = None,
     stop_words: Iterable[str] = (), bigrams: bool = True, decimals: int = 9,
 ) -> DataFrame:
-    """Mean TF-IDF weight per group and term, over the most frequent terms.
+    """Mean TF-IDF weight per group and term, over all terms or the `vocabulary` most frequent ones.
 
-    idf = ln((1 + n) / (1 + df)) + 1; each document is scaled to length 1.
+    idf = ln((1 + n) / (1 + df)) + 1; each document is scaled to length 1. Words are counted
+    inside the row, so a text leaves its task as its distinct terms.
     """
     # Read four times below; as large as the documents' distinct terms.
-    tf = cut(
-        explode_terms(docs, [group, key], terms_of(F.col(text), stop_words, bigrams))
-        .groupBy(group, key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    kept = (
-        tf.groupBy("term")
-        .agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("uses"), "term")
-        .limit(vocabulary)
-    )
+    counted = count_terms(terms_of(F.col(text), stop_words, bigrams))
+    tf = cut(docs.select(group, key, F.inline_outer(counted)).filter(F.col("term").isNotNull()))
+    kept = tf.groupBy("term").agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
+    if vocabulary is not None:
+        kept = kept.orderBy(F.desc("uses"), "term").limit(vocabulary)
     sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     n_docs = sizes.agg(F.sum("n")).scalar()
     idf = kept.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    # At most `vocabulary` rows.
-    weighted = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = tf.join(broadcast_if_small(cut(idf), F.length("term") * 2 + 32), "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return (
         weighted.join(lengths, key)

@@ -7,10 +7,13 @@ numbered together; the counts of the earlier slices give the offset.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewspark.functions.arrays import with_value
 from reviewspark.operators.joins import join_groups
+from reviewspark.runtime import broadcast_if_small, cut
 
 SLICE_ROWS = 50_000
 
@@ -19,13 +22,41 @@ SLICE_ROWS = 50_000
 MAP_SIDE_ROWS = 100
 
 
+# At most this many slices, so that their boundaries stay a small list.
+MOST_SLICES = 10_000
+
+
+def ordered_slice(df: DataFrame, value: str, slices: int) -> Column:
+    """Number of the slice a value falls in; slices follow the order and hold about equally many rows.
+
+    Their boundaries are approximate quantiles of the rows, so neither far values nor a
+    crowd in one place fills a slice; only equal values share one whatever their number.
+    A row finds its slice by halving.
+    """
+    slices = max(1, min(slices, MOST_SLICES))
+    if slices == 1:
+        return F.lit(0)
+    marks = [i / slices for i in range(1, slices)]
+    found = df.agg(F.percentile_approx(value, marks, 10 * slices)).first()[0] or []
+    kind = np.float64 if found and isinstance(found[0], float) else np.int64
+    bounds = np.unique(np.array(found, kind))
+    if not len(bounds):
+        return F.lit(0)
+    steps = [1 << i for i in range(slices.bit_length())][::-1]
+
+    def place(b: Column) -> Column:
+        def halve(at: Column, step: Column) -> Column:
+            reached = (at + step <= len(bounds)) & (F.get(b, at + step - 1) <= F.col(value))
+            return F.when(reached, at + step).otherwise(at)
+
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+    return with_value(F.lit(bounds), place)
+
+
 def id_slice(df: DataFrame, order: str, rows: int = SLICE_ROWS) -> Column:
-    """Slice number of a unique integer key: even spans holding about `rows` rows each."""
-    lo, n = F.min(order), F.count(F.lit(1))
-    # In double: the range of random 64-bit keys does not fit a bigint.
-    width = (F.max(order).cast("double") - lo + 1) / F.greatest(F.lit(1), F.ceil(n / rows))
-    lowest, span = df.agg(lo.alias("v")).scalar(), df.agg(F.greatest(F.lit(1.0), width)).scalar()
-    return F.floor((F.col(order).cast("double") - lowest) / span)
+    """Slice number of a unique integer key, for slices of about `rows` rows each."""
+    return ordered_slice(df, order, -(-df.count() // rows))
 
 
 def hash_slice(order: str, digits: int = 3) -> Column:
@@ -98,10 +129,11 @@ def best_row(
     df: DataFrame, group: list[str], order: list[Column], key: str, payload: list[str]
 ) -> DataFrame:
     """The best row of each group; wide columns are fetched for the winners only."""
-    narrow = df.drop(*payload)
-    winners = top_rows(narrow, group, order, 1).drop("rank")
+    winners = cut(top_rows(df.drop(*payload), group, order, 1).drop("rank"))
     wide = df.select(F.col(key).alias("_key"), *payload)
-    return winners.join(wide, winners[key] == wide["_key"]).drop("_key")
+    # One row a group: while these fit, no wide row is shuffled.
+    small = broadcast_if_small(winners, F.lit(64 * (len(winners.columns) + 1)))
+    return wide.join(small, wide["_key"] == small[key]).select(*winners.columns, *payload)
 
 
 def chunk_numbers(

@@ -6,8 +6,6 @@ the sentences whose words are the most frequent in the text.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -15,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewspark.functions.numbers import adaptive_chunk
-from reviewspark.functions.text import preview
-from reviewspark.operators.ranking import chunk_numbers, first_rows
-from reviewspark.runtime import cut
+from reviewspark.functions.arrays import count_terms, with_value
+from reviewspark.functions.text import SPACE, preview, tokens, without
+from reviewspark.operators.joins import join_groups
+from reviewspark.operators.ranking import chunk_numbers
+from reviewspark.runtime import cut, settle
 
 Summariser = Callable[[str], str]
 
@@ -27,30 +27,36 @@ NO_NEGATIVE = "No negative reviews available."
 NOT_AVAILABLE = "Summary not available"
 
 
-def leading_sentences(most: int = 3, stop_words: Iterable[str] = ()) -> Summariser:
-    """Keep the `most` sentences with the highest mean word frequency, in text order."""
-    stop = frozenset(stop_words)
+def leading_sentences(text: Column, most: int = 3, stop_words: Iterable[str] = ()) -> Column:
+    """The `most` sentences with the highest mean word frequency, in text order, as an expression."""
+    sentences = F.transform(F.split(text, "[.!?\n]+"), lambda s: F.regexp_replace(s, f"^[{SPACE}]+|[{SPACE}]+$", ""))
 
-    def summarise(text: str) -> str:
-        sentences = [s.strip() for s in re.split(r"[.!?\n]+", text)]
-        words = [[w for w in re.findall(r"\w{2,}", s.lower()) if w not in stop] for s in sentences]
-        uses = Counter(w for ws in words for w in ws)
-        scored = [
-            (-round(sum(uses[w] for w in ws) / len(ws), 9), i) for i, ws in enumerate(words) if ws
-        ]
-        kept = sorted(i for _, i in sorted(scored)[:most])
-        return ". ".join(sentences[i] for i in kept)
+    def of_parts(parts: Column) -> Column:
+        words = F.transform(parts, lambda s: without(tokens(s), stop_words))
+        return with_value(words, lambda w: with_value(
+            F.map_from_entries(count_terms(F.flatten(w))), lambda uses: chosen(parts, w, uses)))
 
-    return summarise
+    def chosen(parts: Column, words: Column, uses: Column) -> Column:
+        def score(w: Column, i: Column) -> Column:
+            total = F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.try_element_at(uses, x))
+            return F.when(F.size(w) > 0, F.struct((-F.round(total / F.size(w), 9)).alias("s"), i.alias("i")))
 
+        ranked = F.sort_array(F.filter(F.transform(words, score), lambda x: x.isNotNull()))
+        places = F.sort_array(F.transform(F.slice(ranked, 1, most), lambda x: x["i"]))
+        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), ". ")
 
-def summary_column(
-    text: Column, make: Callable[[], Summariser], attempts: int = 1
-) -> Column:
-    """struct<summary, error> per text. `make` runs once per task, so a model loads once.
+    return with_value(sentences, of_parts)
 
-    A text that keeps failing gives an error instead of ending the job.
+
+def summary_column(text: Column, make: Callable[[], Summariser] | None = None, attempts: int = 1) -> Column:
+    """struct<summary, error> per text: `leading_sentences`, or a plugged-in model.
+
+    `make` runs once per task, so a model loads once. A text that keeps failing gives an
+    error instead of ending the job.
     """
+    if make is None:
+        told = leading_sentences(F.coalesce(text, F.lit("")))
+        return F.struct(told.alias("summary"), F.lit(None).cast("string").alias("error"))
 
     @F.pandas_udf("summary string, error string")
     def summarise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -76,88 +82,100 @@ def or_beginning(summary: Column, text: Column) -> Column:
     return F.coalesce(summary, preview(text, 200))
 
 
-def chunk_sizes(reviews: DataFrame, group: list[str], order: str, text: str, k: int) -> DataFrame:
-    """Chunk size per group from the mean length of its first 100 reviews."""
-    lengths = reviews.filter(F.col(text).isNotNull()).select(
-        *group, order, F.length(text).alias("_len")
-    )
-    first = first_rows(lengths, group, order, 100)
-    return (
-        first.groupBy(*group)
-        .agg(F.avg("_len").alias("mean_length"))
-        .withColumn("chunk_size", adaptive_chunk(F.col("mean_length"), k))
-    )
+def chunk_sizes(reviews: DataFrame, group: list[str], text: str, k: int) -> DataFrame:
+    """Chunk size per group from the mean length of its reviews."""
+    lengths = reviews.filter(F.col(text).isNotNull()).groupBy(*group).agg(F.avg(F.length(text)).alias("mean_length"))
+    return lengths.withColumn("chunk_size", adaptive_chunk(F.col("mean_length"), k))
 
 
 def hierarchical_summary(
     reviews: DataFrame, group: list[str], order: str, text: str, k: int,
-    make: Callable[[], Summariser], fan_in: int = 1000, attempts: int = 1,
+    make: Callable[[], Summariser] | None = None, fan_in: int = 1000, attempts: int = 1,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """One summary per group: chunks of k reviews first, then the summaries of the chunks.
+    """One summary per group: chunks of k reviews first, then the summaries of at most `fan_in` chunks, and so on.
 
-    A group of at most k reviews is summarised at once. Beyond `fan_in` chunks the
-    summaries are again taken together in parts, so no text grows with its group.
-    `sizes` gives every group its own chunk size.
+    A group of at most k reviews is summarised at once. No text grows with its group.
+    `sizes` gives every group its own chunk size. Returns the group, summary, failed (texts
+    of any level the model failed on) and error (the first message among them).
     """
-    rows = reviews.filter(F.col(text).isNotNull()).select(*group, order, text)
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 at least")
+    rows = reviews.filter(F.col(text).isNotNull()).select(
+        *group, order, F.col(text).alias("summary"), F.lit(0).cast("long").alias("failed"),
+        F.lit(None).cast("string").alias("error"))
     if sizes is not None:
         rows = rows.join(sizes.select(*group, "chunk_size"), group)
     numbered = chunk_numbers(rows, group, order, k if sizes is None else F.col("chunk_size"))
-    level = _summarised(_joined(numbered, group, text, "\n\n"), group, make, attempts)
+    level = _summarised(_joined(numbered, group, "\n\n"), group, make, attempts)
     while True:
         level = cut(level)
         counts = level.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
         if counts.filter(F.col("_n") > 1).limit(1).count() == 0:
-            return level.select(*group, "summary", "error")
-        sized = level.join(counts, group)
+            return level.select(*group, "summary", "failed", "error")
+        sized = join_groups(level, counts, group)
         done = sized.filter(F.col("_n") == 1).drop("_n")
         parts = chunk_numbers(
             sized.filter(F.col("_n") > 1).drop("_n").withColumnRenamed("chunk_no", "_at"),
             group, "_at", fan_in,
         )
-        level = _summarised(_joined(parts, group, "summary", " "), group, make, attempts)
+        level = _summarised(_joined(parts, group, " "), group, make, attempts)
         level = level.unionByName(done)
 
 
-def _joined(numbered: DataFrame, group: list[str], text: str, separator: str) -> DataFrame:
-    pairs = F.sort_array(F.collect_list(F.struct("row_no", F.col(text).alias("t"))))
+def _joined(numbered: DataFrame, group: list[str], separator: str) -> DataFrame:
+    """The texts of each chunk as one, with the failures among them and the first message."""
+    pairs = F.sort_array(F.collect_list(F.struct("row_no", F.col("summary").alias("t"))))
+    first = F.min(F.when(F.col("error").isNotNull(), F.struct("row_no", "error")))
     return (
         numbered.groupBy(*group, "chunk_no")
-        .agg(pairs.alias("_pairs"))
-        .select(*group, "chunk_no", F.array_join(F.col("_pairs.t"), separator).alias("_text"))
+        .agg(pairs.alias("_pairs"), F.sum("failed").alias("_failed"), first["error"].alias("_error"))
+        .select(*group, "chunk_no", F.array_join(F.col("_pairs.t"), separator).alias("_text"), "_failed", "_error")
     )
 
 
 def _summarised(
-    texts: DataFrame, group: list[str], make: Callable[[], Summariser], attempts: int
+    texts: DataFrame, group: list[str], make: Callable[[], Summariser] | None, attempts: int
 ) -> DataFrame:
-    made = texts.withColumn("_s", summary_column(F.col("_text"), make, attempts))
+    # Settled, as the summary and its error are both read from what is made once.
+    made = settle(texts, "_s", summary_column(F.col("_text"), make, attempts)) if make is None else (
+        texts.withColumn("_s", summary_column(F.col("_text"), make, attempts)))
     # Without a summary the beginning of the text stands in, so every group is reported.
     return made.select(
         *group, "chunk_no",
         or_beginning(F.col("_s.summary"), F.col("_text")).alias("summary"),
-        F.col("_s.error").alias("error"),
+        (F.col("_failed") + F.col("_s.error").isNotNull().cast("long")).alias("failed"),
+        F.coalesce("_error", "_s.error").alias("error"),
     )
 
 
 def sentiment_summaries(
-    reviews: DataFrame, order: str, text: str, k: int, make: Callable[[], Summariser], **options
+    reviews: DataFrame, order: str, text: str, k: int, make: Callable[[], Summariser] | None = None, **options
 ) -> DataFrame:
-    """app_id, topic_id, positive_summary, negative_summary; an empty side says so."""
+    """app_id, topic_id, positive_summary, negative_summary, failed, error; an empty side says so."""
     keys = ["app_id", "topic_id"]
     per_side = hierarchical_summary(
         reviews.filter(F.col("voted_up").isNotNull()), [*keys, "voted_up"], order, text, k, make, **options
     )
     side = lambda v: F.max(F.when(F.col("voted_up") == v, F.col("summary")))
-    return per_side.groupBy(*keys).agg(
-        F.coalesce(side(True), F.lit(NO_POSITIVE)).alias("positive_summary"),
-        F.coalesce(side(False), F.lit(NO_NEGATIVE)).alias("negative_summary"),
+    told = per_side.groupBy(*keys).agg(
+        side(True).alias("_positive"),
+        side(False).alias("_negative"),
+        F.sum("failed").alias("_failed"),
+        F.max(F.when(F.col("error").isNotNull(), F.struct("voted_up", "error")))["error"].alias("error"),
+    )
+    # A theme whose reviews all lack a vote has two empty sides.
+    return reviews.select(*keys).distinct().join(told, keys, "left").select(
+        *keys,
+        F.coalesce("_positive", F.lit(NO_POSITIVE)).alias("positive_summary"),
+        F.coalesce("_negative", F.lit(NO_NEGATIVE)).alias("negative_summary"),
+        F.coalesce("_failed", F.lit(0)).alias("failed"),
+        "error",
     )
 
 
 def add_summaries(report: DataFrame, summaries: DataFrame) -> DataFrame:
     """Report + both summaries by key; rows that were not summarised say so."""
-    joined = report.join(summaries, ["app_id", "topic_id"], "left")
+    joined = report.join(summaries, ["app_id", "topic_id"], "left").fillna(0, subset=["failed"])
     return joined.fillna(NOT_AVAILABLE, subset=["positive_summary", "negative_summary"])
 

@@ -18,7 +18,7 @@ from reviewspark.functions.arrays import count_terms, with_value
 from reviewspark.functions.text import tokens, without
 from reviewspark.functions.vectors import cosine, dot, norm, squared_distance, term_norm
 from reviewspark.operators.aggregate import mean_vector
-from reviewspark.runtime import broadcast_if_small, fits
+from reviewspark.runtime import BROADCAST_BYTES, broadcast_if_small
 
 # Scores that agree to this many decimals count as equal, so that the winner does not
 # depend on the order in which products were added up.
@@ -144,15 +144,11 @@ def assign_terms(reviews: DataFrame, packed: DataFrame, terms: str = "terms") ->
 def assign_vectors(
     df: DataFrame, packed: DataFrame, vector: str, keys: list[str], metric: str = "cosine"
 ) -> DataFrame:
-    """Nearest theme by cosine or Euclidean distance of dense vectors.
+    """Nearest theme of the row's keys by cosine or Euclidean distance of dense vectors.
 
     `similarity` is the cosine, or the negative squared distance.
     """
-    if keys:
-        joined = df.join(packed, keys, "left")
-    else:
-        # One set of themes for all rows is a single value, not a join.
-        joined = df.withColumn("themes", packed.select("themes").scalar())
+    joined = df.join(packed, keys, "left")
 
     def cosines(v: Column) -> Column:
         near = lambda n: lambda t: F.round(
@@ -170,45 +166,73 @@ def assign_vectors(
 
 
 def nearest_vectors(
-    df: DataFrame, centroids: DataFrame, vector: str, keys: list[str], metric: str = "cosine"
+    df: DataFrame, centroids: DataFrame, vector: str, keys: list[str], metric: str = "cosine",
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """`assign_vectors` out of unpacked centroids (keys, topic_id, centroid), at most one key.
-
-    Centroids that pass the size check go to the executors once, as matrices, and whole
-    Arrow batches are compared with them; measured on vectors of 384 numbers this is six
-    times as fast as expressions. Larger ones are joined.
+    """`assign_vectors` out of unpacked centroids (keys, topic_id, centroid).
+
+    Centroids within `limit` bytes go to the executors once, as matrices, and whole Arrow
+    batches are compared with them; measured on vectors of 384 numbers this is six times as
+    fast as expressions. Larger ones with keys are joined, each row to those of its keys;
+    without keys they go to the executors part by part, each within the limit, and a row
+    keeps the best so far. All ways give the same: vectors that are missing, hold a missing
+    number or have another length than a centroid do not meet it, and a row that meets
+    none gets topic 0 and similarity 0.
     """
-    if not fits(centroids, F.size("centroid") * 8 + 64):
-        packed = pack_vectors(centroids, keys)
-        return assign_vectors(df, packed, vector, keys, metric)
-    tables = df.sparkSession.sparkContext.broadcast(_matrices(centroids, keys))
+    size = F.size("centroid") * 8 + 64
+    total = centroids.agg(F.sum(size)).first()[0] or 0
+    if total > limit and keys:
+        return assign_vectors(df, pack_vectors(centroids, keys), vector, keys, metric)
+    # Twice as many parts as fit, since hashing does not fill them evenly.
+    parts = 1 if total <= limit else 2 * -(-total // limit)
+    part = F.pmod(F.xxhash64("topic_id"), F.lit(parts))
+    columns = df.columns
+    near = df
+    for i in range(parts):
+        some = centroids if parts == 1 else centroids.filter(part == i)
+        best = _meet(df.sparkSession, _matrices(some, keys), metric)
+        near = near.select("*", best(F.struct(*keys) if keys else F.struct(F.lit(0).alias("_")), F.col(vector)).alias(f"_near{i}"))
+    found = F.array(*[
+        F.when(F.col(f"_near{i}.topic_id").isNotNull(),
+               F.struct((-F.col(f"_near{i}.similarity")).alias("far"), F.col(f"_near{i}.topic_id").alias("topic_id")))
+        for i in range(parts)])
+    near = near.withColumn("_best", F.array_min(found)).select(
+        *columns, F.coalesce("_best.topic_id", F.lit(0)).alias("topic_id"), F.coalesce(-F.col("_best.far"), F.lit(0.0)).alias("similarity"))
+    return near
+
+
+def _meet(spark, matrices: dict, metric: str):
+    """A function of (keys, vector) that gives the best topic in `matrices`, or nulls."""
+    tables = spark.sparkContext.broadcast(matrices)
 
     @F.pandas_udf("topic_id int, similarity double")
-    def nearest(product: pd.Series, vectors: pd.Series) -> pd.DataFrame:
-        topic, score = np.zeros(len(vectors), "int32"), np.zeros(len(vectors))
-        present = vectors.notna().to_numpy()
-        for key, rows in product.groupby(product).indices.items():
-            rows = rows[present[rows]]
-            if key in tables.value and len(rows):
-                topics, matrix = tables.value[key]
-                points = np.stack(vectors.iloc[rows].to_numpy()).astype("float64")
-                scores = np.round(_scores(points, matrix, metric), SCORE_DECIMALS)
-                best = scores.argmax(axis=1)
-                topic[rows], score[rows] = topics[best], scores[np.arange(len(rows)), best]
-        return pd.DataFrame({"topic_id": topic, "similarity": score})
-
-    product = F.col(keys[0]) if keys else F.lit(0)
-    near = df.withColumn("_near", nearest(product, F.col(vector)))
-    return near.select(*df.columns, "_near.topic_id", "_near.similarity")
+    def nearest(keys: pd.DataFrame, vectors: pd.Series) -> pd.DataFrame:
+        topic, score = np.full(len(vectors), None, object), np.full(len(vectors), np.nan)
+        rows_of: dict = {}
+        for i, (key, v) in enumerate(zip(keys.itertuples(index=False, name=None), vectors)):
+            if v is not None and (key, len(v)) in tables.value and not any(x is None for x in v):
+                rows_of.setdefault((key, len(v)), []).append(i)
+        for key, rows in rows_of.items():
+            topics, matrix = tables.value[key]
+            points = np.stack(vectors.iloc[rows].to_numpy()).astype("float64")
+            scores = np.round(_scores(points, matrix, metric), SCORE_DECIMALS)
+            best = scores.argmax(axis=1)
+            topic[rows], score[rows] = topics[best], scores[np.arange(len(rows)), best]
+        return pd.DataFrame({"topic_id": pd.array(topic, "Int32"), "similarity": score})
+
+    return nearest
 
 
 def _matrices(centroids: DataFrame, keys: list[str]) -> dict:
-    """key -> topic ids and one matrix row per topic, in topic order. Only for what `fits`."""
+    """(keys, length) -> topic ids and one matrix row per topic, in topic order. Only for what fits."""
     tables: dict = {}
     for row in sorted(centroids.collect(), key=lambda r: r["topic_id"]):
-        topics, vectors = tables.setdefault(row[keys[0]] if keys else 0, ([], []))
-        topics.append(row["topic_id"])
-        vectors.append(row["centroid"])
+        v = row["centroid"]
+        if v is not None and all(x is not None for x in v):
+            key = tuple(row[k] for k in keys) if keys else (0,)
+            topics, vectors = tables.setdefault((key, len(v)), ([], []))
+            topics.append(row["topic_id"])
+            vectors.append(v)
     return {k: (np.array(t), np.array(v, "float64")) for k, (t, v) in tables.items()}
 
 

@@ -11,28 +11,28 @@ from reviewspark.functions.numbers import percent_text
 from reviewspark.operators.aggregate import sentiment_counts
 from reviewspark.operators.keywords import keyword_text, tfidf_weights, top_terms
 from reviewspark.operators.ranking import best_row
-from reviewspark.operators.sampling import sample_per_group
 from reviewspark.operators.summaries import Summariser, or_beginning, summary_column
-from reviewspark.runtime import cut, spread
+from reviewspark.runtime import settle
 
 
 def keyword_report(
     assigned: DataFrame, names: DataFrame, topic: str, key: str, votes: str, text: str,
-    make: Callable[[], Summariser], stop_words: Iterable[str] = (), sample: int = 10_000,
+    make: Callable[[], Summariser] | None = None, stop_words: Iterable[str] = (), vocabulary: int | None = None,
 ) -> DataFrame:
     """Per topic: name, reviews, like ratio, top keywords, best example and its summary.
 
-    Keywords come from a sample of at most `sample` reviews per topic; counts, ratios
-    and examples from all of them. `names` holds the topic and its theme.
+    All of them come from all reviews. `names` holds the topic and its theme; `vocabulary`
+    limits the keywords to the most frequent terms.
     """
     counts = sentiment_counts(assigned, topic)
-    sampled = spread(cut(sample_per_group(assigned.select(topic, key, text), [topic], key, sample)), key)
-    weights = tfidf_weights(sampled, topic, key, text, stop_words=stop_words)
+    weights = tfidf_weights(assigned, topic, key, text, vocabulary, stop_words)
     keywords = keyword_text(top_terms(weights, [topic]), [topic])
     examples = best_row(
         assigned.select(topic, key, votes, text), [topic], [F.desc(votes), F.asc(key)], key, [text]
     ).select(topic, F.col(text).alias("example"))
-    told = examples.withColumn("_s", summary_column(F.col("example"), make)).select(
+    told = settle(examples, "_s", summary_column(F.col("example"), make)) if make is None else (
+        examples.withColumn("_s", summary_column(F.col("example"), make)))
+    told = told.select(
         topic, "example", or_beginning(F.col("_s.summary"), F.col("example")).alias("summary")
     )
     return (
@@ -43,7 +43,7 @@ def keyword_report(
             topic,
             F.coalesce("theme", F.lit("Other")).alias("theme"),
             "review_count",
-            percent_text(F.col("positive"), F.col("review_count")).alias("like_ratio"),
+            percent_text(F.col("positive"), F.col("positive") + F.col("negative")).alias("like_ratio"),
             "top_keywords",
             "example",
             "summary",

@@ -18,10 +18,12 @@ KEYS = ["app_id", "topic_id"]
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
+    """Shares of the votes; reviews without a vote are in neither."""
+    votes = F.col("positive") + F.col("negative")
     return counts.withColumns(
         {
-            "like_ratio": percent_text(F.col("positive"), F.col("review_count")),
-            "dislike_ratio": percent_text(F.col("negative"), F.col("review_count")),
+            "like_ratio": percent_text(F.col("positive"), votes),
+            "dislike_ratio": percent_text(F.col("negative"), votes),
         }
     )
 
@@ -40,9 +42,9 @@ def theme_report(
 
 def completed(counts: DataFrame, themes: DataFrame) -> DataFrame:
     """Every theme of the dictionary, those without reviews with 0."""
-    measures = counts.select(*KEYS, "review_count", "positive", "negative")
+    names = ["review_count", "positive", "negative", "unvoted"]
     domain = themes.select(*KEYS, "theme")
-    return with_ratios(complete(domain, measures, KEYS, ["review_count", "positive", "negative"]))
+    return with_ratios(complete(domain, counts.select(*KEYS, *names), KEYS, names))
 
 
 def partial_counts(assigned: DataFrame, order: str, rows: int) -> DataFrame:
@@ -60,19 +62,20 @@ def review_pages(assigned: DataFrame, order: str, text: str, k: int) -> DataFram
     """The reviews of each theme and side in pages of at most k.
 
     A page is one row with one list; all pages in order are the whole list, however
-    large the theme is.
+    large the theme is. Reviews without a vote are a side of their own (`voted_up` null),
+    so the pages hold what the counts count.
     """
-    votes = assigned.filter(F.col("voted_up").isNotNull())
-    return chunk_lists(votes, [*KEYS, "voted_up"], order, text, k, out="reviews")
+    return chunk_lists(assigned, [*KEYS, "voted_up"], order, text, k, out="reviews")
 
 
 def paged_report(report: DataFrame, assigned: DataFrame, order: str, text: str, k: int) -> DataFrame:
-    """Report rows with both lists: page i of a theme holds its i-th k positive and negative reviews.
+    """Report rows with their lists: page i of a theme holds its i-th k positive, negative and
+    unvoted reviews.
 
-    Both sides are laid out in one pass, so a text is shuffled twice: to be numbered and
+    All sides are laid out in one pass, so a text is shuffled twice: to be numbered and
     to join its page.
     """
-    votes = assigned.filter(F.col("voted_up").isNotNull() & F.col(text).isNotNull())
+    votes = assigned.filter(F.col(text).isNotNull())
     entry = F.struct("row_no", F.col(text).alias("t"))
     side = lambda c: F.sort_array(F.collect_list(F.when(c, entry)))["t"]
     lists = (
@@ -81,10 +84,11 @@ def paged_report(report: DataFrame, assigned: DataFrame, order: str, text: str,
         .agg(
             side(F.col("voted_up")).alias("positive_reviews"),
             side(~F.col("voted_up")).alias("negative_reviews"),
+            side(F.col("voted_up").isNull()).alias("unvoted_reviews"),
         )
     )
     none = F.array().cast("array<string>")
-    filled = {n: F.coalesce(n, none) for n in ("positive_reviews", "negative_reviews")}
+    filled = {n: F.coalesce(n, none) for n in ("positive_reviews", "negative_reviews", "unvoted_reviews")}
     return report.join(lists, KEYS, "left").withColumns({"page": F.coalesce("page", F.lit(0)), **filled})
 
 
@@ -110,14 +114,14 @@ def drill_down(report: DataFrame, app_id: int, theme: str | None = None) -> Data
 
 
 def sentiment_pivot(assigned: DataFrame, themes: DataFrame) -> DataFrame:
-    """Positive and negative reviews per theme side by side."""
-    side = F.when(F.col("voted_up"), "likes").otherwise("dislikes")
+    """Positive, negative and unvoted reviews per theme side by side."""
+    sides = ["likes", "dislikes", "unvoted"]
+    side = F.when(F.col("voted_up"), "likes").when(~F.col("voted_up"), "dislikes").otherwise("unvoted")
     wide = (
-        assigned.filter(F.col("voted_up").isNotNull())
-        .withColumn("sentiment", side)
+        assigned.withColumn("sentiment", side)
         .groupBy(*KEYS)
-        .pivot("sentiment", ["likes", "dislikes"])
+        .pivot("sentiment", sides)
         .count()
-        .fillna(0, subset=["likes", "dislikes"])
+        .fillna(0, subset=sides)
     )
     return theme_names(wide, themes)

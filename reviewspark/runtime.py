@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,16 +18,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall
-    back to a temporary folder, because there every executor sees the same disk.
+    The cluster names it in ``spark.checkpoint.dir``. Only where driver and executors are
+    one process may a session go without; its temporary folder goes when Python ends.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             configured = tempfile.mkdtemp(prefix="reviewspark-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -35,12 +39,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable storage and go on from there.
+    """Write `df` as Parquet to the shared folder and go on from there.
 
-    Used where a result is read more than once or where a loop would grow the plan.
+    Used where a result is read more than once or where a loop would grow the plan. Later
+    reads take only the columns they need, and the planner knows the size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = work_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> bool:
@@ -66,15 +72,3 @@ def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
     expression there; it does not move one below a generator.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that arrives in fewer splits than there are cores.
-
-    Only for small inputs read from few files: with at least as many splits as cores,
-    which is always so at scale, nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -48,10 +48,23 @@ def _each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, i
     )
 
 
+def _own_target(spark: SparkSession, target: str, checkpoint: str) -> None:
+    """A target belongs to one checkpoint: refuse one that another run has filled."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(place: str) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(conf).exists(path)
+
+    if there(target) and not there(checkpoint):
+        raise ValueError(f"{target} holds the results of a run with another checkpoint")
+
+
 def count_themes(
     stream: DataFrame, assign: Callable[[DataFrame], DataFrame], keys: list[str], target: str, checkpoint: str
 ) -> StreamingQuery:
     """Partial counts of every batch under `target`; `running_counts` adds them up."""
+    _own_target(stream.sparkSession, target, checkpoint)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         counts = sentiment_counts(assign(batch), *keys)
@@ -65,14 +78,17 @@ def running_counts(spark: SparkSession, target: str, keys: list[str]) -> DataFra
 
 
 def move_centroids(
-    stream: DataFrame, seeds: DataFrame, vector: str, target: str, checkpoint: str
+    stream: DataFrame, seeds: DataFrame, vector: str, target: str, checkpoint: str,
+    labels: str | None = None, key: str | None = None,
 ) -> StreamingQuery:
     """Each batch is assigned with the centroids so far, which it then moves.
 
     The state is one row per topic and dimension: the sum and the number of vectors.
-    Batch n reads the folder of batch n - 1 and writes its own.
+    Batch n reads the folder of batch n - 1 and writes its own. With `labels` every batch is
+    then labelled by the moved centroids: (key, topic_id, similarity) under that folder.
     """
     spark = seeds.sparkSession
+    _own_target(spark, target, checkpoint)
     start = seeds.select(
         "topic_id", F.posexplode("centroid").alias("dim", "total")
     ).withColumn("n", F.lit(1).cast("bigint"))
@@ -93,6 +109,10 @@ def move_centroids(
             .write.mode("overwrite")
             .parquet(f"{target}/state={batch_id}")
         )
+        if labels is not None:
+            moved = centroids_of(spark.read.parquet(f"{target}/state={batch_id}"))
+            named = nearest_vectors(batch, moved, vector, [], metric="euclidean")
+            named.select(key, "topic_id", "similarity").write.mode("overwrite").parquet(f"{labels}/batch={batch_id}")
 
     return _each_batch(stream, checkpoint, step)
 

@@ -180,16 +180,54 @@ def test_batches_equal_expressions(spark, metric, keys):
         centroids = centroids.filter("app_id = 0").drop("app_id")
     assert fits(centroids, F.size("centroid") * 8) and not fits(centroids, F.size("centroid") * 8, 100)
     batches = themes.nearest_vectors(df, centroids, "v", keys, metric)
-    joined = themes.assign_vectors(df, themes.pack_vectors(centroids, keys), "v", keys, metric)
+    other = themes.nearest_vectors(df, centroids, "v", keys, metric, limit=300)
     columns = ["id", "topic_id", F.round("similarity", 6).alias("s")]
-    assert set(batches.select(*columns).collect()) == set(joined.select(*columns).collect())
+    assert set(batches.select(*columns).collect()) == set(other.select(*columns).collect())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_two_keys_and_odd_vectors(spark, metric):
+    points = [(1, "x", 1, [1.0, 0.0]), (2, "x", 2, [1.0, 0.0]), (3, "y", 1, [0.0, 1.0]), (4, "x", 1, [1.0, 2.0, 3.0]),
+              (5, "x", 1, [None, 1.0]), (6, None, 1, [1.0, 0.0]), (7, "x", 1, None), (8, "x", 1, [])]
+    df = spark.createDataFrame(points, "id int, a string, b int, v array<double>")
+    centres = [("x", 1, 0, [0.0, 1.0]), ("x", 1, 1, [1.0, 0.0]), ("x", 2, 5, [0.0, 1.0]), ("y", 1, 7, [1.0, 1.0]),
+               ("x", 1, 2, [1.0, 2.0, 3.0]), ("x", 1, 3, [None, 0.0]), ("x", 1, 4, None)]
+    centroids = spark.createDataFrame(centres, "a string, b int, topic_id int, centroid array<double>")
+    want = {1: 1, 2: 5, 3: 7, 4: 2, 5: 0, 6: 0, 7: 0, 8: 0}
+    for limit in (10**6, 1):
+        got = themes.nearest_vectors(df, centroids, "v", ["a", "b"], metric, limit=limit).collect()
+        assert {r.id: r.topic_id for r in got} == want
+        assert all(r.similarity == 0 for r in got if r.id > 4)
+
+
+@pytest.mark.parametrize("far", [[10**15, 10**15 + 1], [-(10**15)], []])
+def test_slices_are_even(spark, far):
+    ids = [*range(20_000), *far]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    sizes = df.groupBy(ranking.id_slice(df, "id", 1000).alias("s")).count().collect()
+    assert max(r["count"] for r in sizes) <= 2000 and len(sizes) >= 15
+    placed = df.select("id", ranking.id_slice(df, "id", 1000).alias("s")).orderBy("id").collect()
+    assert [r.s for r in placed] == sorted(r.s for r in placed)
+
+
+@pytest.mark.parametrize("odd", [[-1e7], [1e300], [5.0] * 3000, [float("nan")] * 10 + [None]])
+def test_quantiles_of_odd_values(spark, odd):
+    rng = random.Random(5)
+    values = [rng.uniform(0, 1000) for _ in range(4000)] + odd
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    got = aggregate.exact_quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.95}).first()
+    kept = [v for v in values if v is not None and v == v]
+    assert np.allclose([got.m, got.q], np.quantile(kept, [0.5, 0.95]))
+    spans = df.filter("v is not null and not isnan(v)").groupBy(ranking.ordered_slice(df, "v", 100).alias("s")).agg(
+        F.countDistinct("v").alias("n")).collect()
+    assert max(r.n for r in spans) <= 2 * len(kept) / 100
 
 
 def test_report_edges(spark, dictionary):
     counts = report.theme_report(review_frame(spark).filter("review is not null"), dictionary)
     rows = {(r.app_id, r.topic_id): r for r in counts.collect()}
     assert rows[(3, 0)].theme == "Unknown Theme 0"
-    assert all(r.positive + r.negative == r.review_count for r in rows.values())
+    assert all(r.positive + r.negative + r.unvoted == r.review_count for r in rows.values())
     assert sum(r.review_count for r in rows.values()) == 6
     full = report.completed(counts, dictionary).collect()
     assert len(full) == 5
@@ -243,7 +281,7 @@ def test_hierarchy(spark, n):
 def test_adaptive_chunks(spark):
     rows = [("short", i, "x") for i in range(130)] + [("long", i, "y" * 600) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, id bigint, t string")
-    sizes = summaries.chunk_sizes(df, ["g"], "id", "t", 60)
+    sizes = summaries.chunk_sizes(df, ["g"], "t", 60)
     assert {r.g: r.chunk_size for r in sizes.collect()} == {"short": 120, "long": 50}
     got = summaries.hierarchical_summary(df, ["g"], "id", "t", 60, joiner, sizes=sizes).collect()
     assert {r.g: r.summary.count("<") for r in got} == {"short": 3, "long": 3}
@@ -273,7 +311,35 @@ def test_sentinels(spark):
     assert full == {0: "<good>", 2: summaries.NOT_AVAILABLE}
 
 
-def test_leading_sentences():
-    told = summaries.leading_sentences(1)("One two. Combat combat! combat is fun?\n")
-    assert told == "Combat combat"
-    assert summaries.leading_sentences()("") == ""
+def test_leading_sentences(spark):
+    texts = ["One two. Combat combat! combat is fun?\n", "", None, "...", "b a. a b. c c c. a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    told = {r.i: r.s for r in df.select("i", summaries.leading_sentences(F.col("t"), 1).alias("s")).collect()}
+    assert told == {0: "Combat combat", 1: "", 2: None, 3: "", 4: ""}
+    assert "Python" not in df.select(summaries.summary_column(F.col("t")))._jdf.queryExecution().toString()
+
+
+def middle_fails():
+    def model(text):
+        if "bad" in text:
+            raise ValueError("cannot read this")
+        return f"<{len(text)}>"
+
+    return model
+
+
+def test_errors_go_up_the_levels(spark):
+    rows = [("g", i, "bad" if i == 5 else f"text {i}") for i in range(12)] + [("h", 0, "fine")]
+    df = spark.createDataFrame(rows, "g string, id bigint, t string")
+    got = {r.g: r for r in summaries.hierarchical_summary(df, ["g"], "id", "t", 2, middle_fails, fan_in=2).collect()}
+    # The beginning that stands in for the failed chunk still holds the word, so the level above fails too.
+    assert got["g"].failed >= 1 and got["g"].error == "ValueError: cannot read this"
+    assert (got["h"].failed, got["h"].error) == (0, None)
+    with pytest.raises(ValueError):
+        summaries.hierarchical_summary(df, ["g"], "id", "t", 2, middle_fails, fan_in=1)
+
+
+def test_best_row_moves_no_text(spark):
+    df = spark.range(100).selectExpr("id % 5 AS g", "id", "id * 7 % 11 AS votes", "repeat('x', 50) AS t")
+    plan = ranking.best_row(df, ["g"], [F.desc("votes"), F.asc("id")], "id", ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
