@@ -90,3 +90,16 @@ def test_cosine_of_zero_vector(spark):
     got = df.select(vectors.cosine(vectors.dot(a, b), vectors.norm(a), vectors.norm(b)).alias("s")).collect()
     assert [round(r.s, 9) for r in got] == [0.0, 1.0]
     assert apply(spark, vectors.first_best, [[1.0, 3.0, 3.0], [0.0]], "array<double>") == [1, 0]
+
+
+@pytest.mark.parametrize("cell, want", [
+    ("['a, None, b']", ["a, None, b"]),
+    ("['None', None, \"it's\"]", ["None", "it's"]),
+    ("[True, 'x', \"y, False\", False]", ["True", "x", "y, False", "False"]),
+    (r"['caf\xa0e']", ["caf\xa0e"]),
+    (r"['\U0001f600 \\x41', '\U000000e9']", ["\U0001f600 \\x41", "é"]),
+    (r"['a\'b None, True', None]", ["a'b None, True"]),
+    ("[ None ]", []),
+])
+def test_printed_lists(spark, cell, want):
+    assert apply(spark, arrays.list_cell, [cell]) == [want]

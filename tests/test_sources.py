@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewspark.catalogue.binding import table
@@ -145,3 +146,18 @@ def test_streams_over_several_batches(spark, tmp_path, tiny):
     sums = vectors.select(F.posexplode("embedding").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x").cast("double")).alias("s")).orderBy("d").collect()
     n = vectors.count()
     assert all(abs(m - r.s / (n + 1)) < 1e-9 for m, r in zip(moved, sums))
+
+
+def test_labels_follow_the_moved_centroids_and_targets_are_not_shared(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in (0, 1, 9, 10)], "id bigint, v array<double>")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/v")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/v")
+    seeds = spark.createDataFrame([(0, [0.0, 0.0]), (1, [4.0, 0.0])], "topic_id int, centroid array<double>")
+    run = lambda c: incremental.move_centroids(
+        stream, seeds, "v", f"{tmp_path}/state", f"{tmp_path}/{c}", labels=f"{tmp_path}/labels", key="id")
+    run("c1").awaitTermination()
+    got = {r.id: r.topic_id for r in spark.read.parquet(f"{tmp_path}/labels").collect()}
+    assert got == {0: 0, 1: 0, 9: 1, 10: 1}
+    run("c1").awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run("c2")
