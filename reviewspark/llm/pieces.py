@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ UNKNOWN_COST = 10.0
 SHORT = 64
 # Segments a task remembers, and the segments taken from a text at a time.
 CACHE = 200_000
-TAKE = 50_000
+TAKE = 200_000
 
 _PARTS = re.compile(r" *[^ \n]+| +|\n")
 
@@ -173,8 +174,7 @@ class PieceModel:
         n, wide = len(data), max(map(len, data))
         length = np.array([len(d) for d in data])
         codes = np.zeros((n, wide + 1), np.int32)  # 0 is no byte
-        for i, d in enumerate(data):
-            codes[i, : len(d)] = np.frombuffer(d, np.uint8)
+        codes[:, :wide] = np.frombuffer(b"".join([d.ljust(wide, b"\0") for d in data]), np.uint8).reshape(n, wide)
         codes[:, :wide] += np.arange(wide) < length[:, None]
         starts = np.ones((n, wide + 1), bool)
         starts[:, :wide] = ((codes[:, :wide] - 1) & 0xC0) != 0x80
@@ -228,27 +228,30 @@ class PieceModel:
         return out
 
     def _learn(self, segments: Iterable[str]) -> None:
-        """Put the segments that are not remembered into the cache."""
-        new = [s for s in segments if s not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-        data = [(s.encode("utf-8", "surrogatepass"), s) for s in new]
-        data.sort(key=lambda x: len(x[0]))
-        short = [x for x in data if len(x[0]) <= SHORT]
-        for d, s in data[len(short) :]:
-            self.cache[s] = self._viterbi(d)
-        at = 0
-        while at < len(short):
-            # Segments of one length, or of a few lengths where there are few.
-            stop = at + 1
-            while stop < len(short) and stop - at < 8192 and (
-                len(short[stop][0]) == len(short[at][0]) or len(short[stop][0]) <= len(short[at][0]) + 4 and stop - at < 512
-            ):
-                stop += 1
-            part = short[at:stop]
-            for (_, s), ids in zip(part, self._viterbi_many([d for d, _ in part])):
+        """Put new segments into the cache."""
+        by_length: dict[int, list[tuple[bytes, str]]] = {}
+        for s in segments:
+            d = s.encode("utf-8", "surrogatepass")
+            by_length.setdefault(len(d), []).append((d, s))
+        part: list[tuple[bytes, str]] = []
+        for length in sorted(by_length):
+            if length > SHORT:
+                for d, s in by_length[length]:
+                    self.cache[s] = self._viterbi(d)
+                continue
+            # Segments of one length together, with those of a few bytes less where there are few.
+            if part and (len(part) > 1024 or length > len(part[0][0]) + 6):
+                self._learn_together(part)
+                part = []
+            part += by_length[length]
+        if part:
+            self._learn_together(part)
+
+    def _learn_together(self, part: list[tuple[bytes, str]]) -> None:
+        for at in range(0, len(part), 8192):
+            some = part[at : at + 8192]
+            for (_, s), ids in zip(some, self._viterbi_many([d for d, _ in some])):
                 self.cache[s] = ids
-            at = stop
 
     def encode_many(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of every text; the new segments of all the texts are worked out together."""
@@ -274,15 +277,15 @@ class PieceModel:
             if not t:
                 continue
             text = " " + t
-            parts: list[str] = []
-            for m in _PARTS.finditer(text) if self.splits else [re.match(r"(?s).*", text)]:
-                parts.append(m.group())
-                if len(parts) == TAKE:
+            if len(text) <= TAKE or not self.splits:
+                waiting.append((i, _PARTS.findall(text) if self.splits else [text]))
+                held += len(waiting[-1][1])
+            else:
+                # A very long text goes in portions.
+                found = _PARTS.finditer(text)
+                while parts := [m.group() for m in islice(found, TAKE)]:
                     waiting.append((i, parts))
                     flush()
-                    parts = []
-            waiting.append((i, parts))
-            held += len(parts)
             if held >= TAKE:
                 flush()
         flush()
