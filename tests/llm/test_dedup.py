@@ -216,6 +216,39 @@ def test_matching_passages_measure():
     assert matching_passages(h(a)[:0], h(a)) == []
 
 
+def hashed(words):
+    return shingle_hashes([" ".join(words)])[0][: max(0, len(words) - 4)]
+
+
+def similar_span(x, y):
+    """Whether some span of 46 shingles or more, at one place in both texts, is similar enough; by trying all."""
+    return any(
+        len(u & v) >= 0.8 * len(u | v)
+        for a in range(len(x)) for z in range(a + 46, len(x) + 1) if x[a] == y[a] and x[z - 1] == y[z - 1]
+        for u, v in [(set(x[a:z].tolist()), set(y[a:z].tolist()))])
+
+
+def test_passages_inside_a_chain_that_is_changed_more():
+    rng = random.Random(11)
+    a = prose(rng, 160)
+    b = list(a)
+    for i in (12, 24, 35, 75, 98, 110, 121, 133, 146):
+        b[i] = "other"
+    x, y = hashed(a), hashed(b)
+    found = matching_passages(x, y)
+    assert found and all(s >= 0.8 and z - i >= 50 for i, z, *_, s in found)
+    n = [0, 0]
+    for _ in range(40):
+        b = list(a[:110])
+        for i in range(110):
+            if rng.random() < (0.12 if i < 40 else 0.03):
+                b[i] = f"other{i}"
+        want = similar_span(hashed(a[:110]), hashed(b))
+        n[want] += 1
+        assert bool(matching_passages(hashed(a[:110]), hashed(b))) == want
+    assert min(n) > 3
+
+
 def test_passages_odd_rows(odd, none, spark):
     got = repeated_passages(odd.unionByName(odd.withColumn("doc_id", odd.doc_id + 100)))
     assert {(r.doc_id, r.class_id, r.n_links) for r in got.collect()} == {(5, 5, 1), (105, 5, 1)}
