@@ -249,6 +249,22 @@ def test_passages_inside_a_chain_that_is_changed_more():
     assert min(n) > 3
 
 
+def test_passages_whose_words_also_stand_elsewhere():
+    rng = random.Random(12)
+    p = prose(rng, 60)
+    for early in (5, 15, 25):
+        for n in (50, 60):
+            a = hashed(prose(rng, 30) + p[:n] + prose(rng, 30))
+            b = hashed(prose(rng, 20) + p[:early] + prose(rng, 25) + p[:n] + prose(rng, 10))
+            for x, y in ((a, b), (b, a)):
+                assert any(z - i >= n and e - c >= n and s == 1 for i, z, c, e, s in matching_passages(x, y)), (early, n)
+    line = prose(rng, 7)
+    a, b = line * 4 + p + line * 9, line * 20 + p[:30] + line + p[:30] + p[30:] + line * 3
+    assert any(z - i >= 60 and i <= 28 and s >= 0.8 for i, z, _, _, s in matching_passages(hashed(a), hashed(b)))
+    many = hashed(["as"] * 3000 + p)
+    assert matching_passages(many, hashed(["as"] * 2000 + p))[0][4] == 1
+
+
 def test_passages_odd_rows(odd, none, spark):
     got = repeated_passages(odd.unionByName(odd.withColumn("doc_id", odd.doc_id + 100)))
     assert {(r.doc_id, r.class_id, r.n_links) for r in got.collect()} == {(5, 5, 1), (105, 5, 1)}
