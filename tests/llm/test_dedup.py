@@ -265,6 +265,19 @@ def test_passages_whose_words_also_stand_elsewhere():
     assert matching_passages(many, hashed(["as"] * 2000 + p))[0][4] == 1
 
 
+def test_last_step_links_copies_with_a_block_put_in(spark, monkeypatch):
+    rng = random.Random(15)
+    docs = {}
+    for k in range(3, 11):
+        p = prose(rng, 80)
+        docs[2 * k] = prose(rng, 40) + p + prose(rng, 40)
+        docs[2 * k + 1] = prose(rng, 25) + p[:40] + prose(rng, k) + p[40:] + prose(rng, 25)
+    monkeypatch.setattr(passages, "ROUNDS", 0)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in repeated_passages(df).collect()}
+    assert got == {i: i - i % 2 for i in docs}
+
+
 def test_passages_odd_rows(odd, none, spark):
     got = repeated_passages(odd.unionByName(odd.withColumn("doc_id", odd.doc_id + 100)))
     assert {(r.doc_id, r.class_id, r.n_links) for r in got.collect()} == {(5, 5, 1), (105, 5, 1)}
