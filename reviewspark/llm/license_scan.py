@@ -27,6 +27,56 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
             "provided that the following conditions are met"),
 ]
+
+
+def _gnu(name: str, version: str) -> str:
+    return (f"under the terms of the {name} as published by the free software foundation either version {version} of "
+            "the license or at your option any later version")
+
+
+_GPL, _LGPL, _AGPL, _LIBRARY = (f"gnu {x}general public license" for x in ("", "lesser ", "affero ", "library "))
+# Standard notices, headings and sections of common licences, with the runs of words
+# that must be met whole, so that neither another licence of a family nor another version is taken for it.
+NOTICES: list[tuple[str, str, tuple[str, ...]]] = [
+    *((label, _gnu(name, v), (name, f"version {v} of the license")) for label, name, v in (
+        ("gpl-2", _GPL, "2"), ("gpl-3", _GPL, "3"), ("lgpl-2", _LIBRARY, "2"), ("lgpl-2.1", _LGPL, "2 1"),
+        ("lgpl-3", _LGPL, "3"), ("agpl-3", _AGPL, "3"))),
+    # Other licences name these by version too; only the heading has the date.
+    *((label, text, (text,)) for label, name, v, rest in (
+        ("lgpl-2", _LIBRARY, "2", "june 1991"),
+        ("gpl-2", _GPL, "2", "june 1991"), ("gpl-3", _GPL, "3", "29 june 2007"), ("lgpl-2.1", _LGPL, "2 1", "february 1999"),
+        ("lgpl-3", _LGPL, "3", "29 june 2007"), ("agpl-3", _AGPL, "3", "19 november 2007"),
+        ("mpl-2", "mozilla public license", "2 0", "")) for text in [f"{name} version {v} {rest}".strip()]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+              "distributed with this file you can obtain one at", ("mozilla public license v 2 0",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is "
+                 "distributed on an as is basis without warranties or conditions of any kind either express or implied", ()),
+    ("apache-2", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free "
+                 "irrevocable copyright license to reproduce prepare derivative works of", ()),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+            "of the software", ("substantial portions of the software",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies", ()),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the "
+            "following disclaimer", ()),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+            "following disclaimer in the documentation and or other materials provided with the distribution", ()),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ()),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code "
+                  "form or as a compiled binary for any purpose commercial or non commercial and by any means", ()),
+    ("cc0", "cc0 1 0 universal", ("cc0 1 0 universal",)),
+    ("cc0", "to the extent possible under law has waived all copyright and related or neighboring rights to",
+     ("waived all copyright and related",)),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    ("cc-by", "creative commons attribution 4 0 international public license", ("creative commons attribution 4 0",)),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ("attribution sharealike 4 0",)),
+]
+TEMPLATES += [(label, text) for label, text, _ in NOTICES]
+# Runs of words of a template that a match must hold whole.
+REQUIRED = {text: runs for _, text, runs in NOTICES} | {
+    "creative commons attribution noncommercial 4 0 international license": ("noncommercial",),
+    "this work is licensed under the gnu general public license version 3": (_GPL,),
+}
 # A match counts from this many words on; two of a chain lie at most GAP words apart; a
 # template is found when this share of its words is covered.
 LEAST = 3
@@ -127,9 +177,16 @@ class LicenceScanner:
         self.labels = [label for label, _ in listed]
         words = [text.encode().split() for _, text in listed]
         self.sizes = [len(w) for w in words]
+        self.required = [[self._place(w, run.encode().split()) for run in REQUIRED.get(text, ())]
+                         for w, (_, text) in zip(words, listed)]
         self.automaton = TokenAutomaton(words)
         self.known = frozenset(w for t in words for w in t)
 
+    @staticmethod
+    def _place(words: list[bytes], run: list[bytes]) -> tuple[int, int]:
+        at = next(i for i in range(len(words)) if words[i : i + len(run)] == run)
+        return at, at + len(run)
+
     def _matches(self, start: int, run: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(state, end, length) of matches that the next word does not make longer."""
         state = length = 0
@@ -147,7 +204,7 @@ class LicenceScanner:
         count = [0]
         places: dict[str, int] = {}
         n_base, first, last = 0, None, None
-        # Per template the chains that a match may still join: (covered, template end, text start, text end).
+        # Per template the chains that a match may still join: (covered, template end, text start, text end, required runs met).
         open_: list[deque] = [deque() for _ in self.sizes]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for start, run in _known_runs(data, self.known, LEAST, count):
@@ -166,11 +223,15 @@ class LicenceScanner:
                     while chains and chains[0][3] < end - length - GAP:
                         chains.popleft()
                     covered, begin = length, end - length
-                    for c, c_t, c_begin, c_end in chains:
-                        if c_t <= t_end - length and c_end <= end - length and c + length > covered:
-                            covered, begin = c + length, c_begin
-                    chains.append((covered, t_end, begin, end))
-                    if covered >= COVER * self.sizes[t] and best.get((t, begin), (0,))[0] < covered:
+                    own = sum(1 << k for k, (a, z) in enumerate(self.required[t]) if t_end - length <= a and z <= t_end)
+                    met = own
+                    for c, c_t, c_begin, c_end, c_met in chains:
+                        if c_t <= t_end - length and c_end <= end - length and (
+                                ((own | c_met).bit_count(), c + length) > (met.bit_count(), covered)):
+                            covered, begin, met = c + length, c_begin, own | c_met
+                    chains.append((covered, t_end, begin, end, met))
+                    whole = met.bit_count() == len(self.required[t])
+                    if whole and covered >= COVER * self.sizes[t] and best.get((t, begin), (0,))[0] < covered:
                         best[t, begin] = (covered, begin, end)
         spans = sorted((t, b, e, c / self.sizes[t]) for (t, _), (c, b, e) in best.items())
         base = sorted(places)
@@ -200,7 +261,7 @@ def scan_licences(
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Base
     labels come from the places where a phrase's words follow each other. The method's own
     labels come from matches of at least LEAST words, chained in the order of a template
-    with gaps up to GAP words, that cover at least COVER of its words; `score` is the
+    with gaps up to GAP words, that cover at least COVER of its words and hold its required runs whole; `score` is the
     largest share covered, 0 if no template reached it. A text passes the automaton word
     by word in blocks, so its length does not matter. Null and empty texts have no words,
     no labels (empty strings) and null places. Rows with a null id and repeated rows keep

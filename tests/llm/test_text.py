@@ -77,6 +77,42 @@ def test_templates_are_found_with_gaps():
     assert scanner.scan(" ".join(words[:8]))["labels"] == ""
 
 
+def test_notices_and_headings_of_common_licences():
+    gnu = """This program is free software: you can redistribute it and/or modify
+ * it under the terms of the {} as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version."""
+    cases = {
+        "gpl-3": [gnu.format("GNU General Public License", 3), "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007",
+                  "Licensed under the GNU General Public License Version 3"],
+        "gpl-2": [gnu.format("GNU General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+        "lgpl-2.1": [gnu.format("GNU Lesser General Public License", "2.1")],
+        "lgpl-3": [gnu.format("GNU Lesser General Public License", 3)],
+        "agpl-3": [gnu.format("GNU Affero General Public License", 3)],
+        "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL "
+                  "was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."],
+        "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+        "mit": ["The above copyright notice and this permission notice shall be included in all\ncopies or substantial "
+                "portions of the Software."],
+        "bsd": ["1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                "following disclaimer."],
+        "apache-2": ["Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                     "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
+        "unlicense": ["This is free and unencumbered software released into the public domain."],
+        "cc0": ["CC0 1.0 Universal"],
+        "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+        "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License"],
+        "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License"],
+        "": ["GNU General Public License, Version 2.0, the GNU Lesser General Public License, Version 2.1, the GNU Affero "
+             "General Public License, Version 3.0, or any later versions of those licenses.",
+             "You should have received a copy of the license; the software is free and public."],
+    }
+    scanner = LicenceScanner(TEMPLATES, PHRASES)
+    got = {t: scanner.scan("Copyright 2020 A. Person\n" + t + "\nint main;")["labels"] for ts in cases.values() for t in ts}
+    assert got == {t: label for label, ts in cases.items() for t in ts}
+
+
 def test_licences_odd_rows(odd, none):
     got = scan_licences(odd).collect()
     assert len(got) == odd.count() and all(r.labels == "" for r in got)
