@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewspark.llm import byte_bpe
+from reviewspark.llm.centroids import centroid_clusters
 from reviewspark.llm.common import table
 from reviewspark.llm.line_dedup import dedup_lines
 from reviewspark.llm.decontaminate import benchmark_hits
@@ -15,6 +17,7 @@ from reviewspark.llm.license_scan import scan_licences
 from reviewspark.llm.passages import repeated_passages
 from reviewspark.llm.pieces import PieceModel, encode_texts
 from reviewspark.llm.simhash_dedup import simhash_components
+from reviewspark.llm.spelling import count_words, spelling_variants
 from reviewspark.llm.topk import exact_topk
 from reviewspark.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from reviewspark.llm.url_filter import filter_urls
@@ -160,3 +163,104 @@ FROM documents d LEFT JOIN kept k USING (doc_id)""")
 def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
+    model = byte_bpe.ByteBpe.load()
+    ids = byte_bpe.encode_texts(table(spark, sf, "documents"), model, packed=True)
+    data = byte_bpe.decode_ids(ids, model, keep=["n_tokens", "ids"])
+    return data.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def _centroids_sql(k: int, rounds: int) -> str:
+    """Unrolled rounds: centroids c0, c1, ..., assignments p0, p1, ..."""
+    sql = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS cluster, e AS c FROM kept QUALIFY cluster < {k})"""
+    for i in range(rounds + 1):
+        sql += f""",
+p{i} AS MATERIALIZED (
+  SELECT rid, vec_id, e, cluster,
+         CAST(list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c) AS BIGINT) AS distance
+  FROM kept JOIN c{i} ON true QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)"""
+        if i < rounds:
+            sql += f""",
+s{i} AS (
+  SELECT cluster, dim, sum(CAST(x AS BIGINT)) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM p{i}) GROUP BY ALL),
+m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY dim) AS c FROM s{i} GROUP BY cluster),
+c{i + 1} AS (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (cluster))"""
+    return sql + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM p{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+@query(_centroids_sql(16, 3))
+def op12_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster of every vector; a centroid is told by its digest."""
+    members, centroids = centroid_clusters(table(spark, sf, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    # One row for each of the 16 centroids.
+    side = centroids.select("cluster", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+    return members.join(F.broadcast(side), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def lost_letter(doc_id: Column, run: Column) -> Column:
+    """One of 199 runs, chosen by crc32 of `<doc_id>:<run>`, loses a code point."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+# crc32 byte by byte with its table; runs of the text; words one edit apart by the word without each of its letters.
+_SPELLING_SQL = """
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{6,}')) AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(
+      range(0, strlen(id || ':' || run)), lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, t),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS short
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.short = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.short = b.word),
+near AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n
+  FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+way AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT way.word, f.word, f.form FROM way JOIN forms f ON way.next = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN way ON way.word = f.word AND way.next IS NULL"""
+
+
+@query(_SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frequent word with the more frequent word it is a variant of."""
+    return spelling_variants(count_words(table(spark, sf, "documents"), edit=lost_letter))
