@@ -46,7 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = work_dir(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames that `cut` returned, once nothing reads them any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> bool:
