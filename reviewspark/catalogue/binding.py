@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewspark.runtime import deal_out
 from reviewspark.sources.reviews import usable_reviews
 from reviewspark.sources.themes import parse_themes
 
@@ -38,7 +39,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    """The documents; texts are worked on at length, so those of a small file are dealt out first."""
+    return deal_out(table(spark, sf, "documents"))
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +78,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("vec_id"),
         F.regexp_extract("source", "[0-9]+", 0).try_cast("int").alias("app_id"),
     )
-    return table(spark, sf, "embeddings").join(docs, "vec_id")
+    return deal_out(table(spark, sf, "embeddings")).join(docs, "vec_id")
 
 
 def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewspark.functions.numbers import adaptive_chunk
-from reviewspark.functions.arrays import count_terms, with_value
+from reviewspark.functions.arrays import with_value
 from reviewspark.functions.text import SPACE, preview, tokens, without
 from reviewspark.operators.joins import join_groups
 from reviewspark.operators.ranking import chunk_numbers
@@ -28,24 +31,51 @@ NOT_AVAILABLE = "Summary not available"
 
 
 def leading_sentences(text: Column, most: int = 3, stop_words: Iterable[str] = ()) -> Column:
-    """The `most` sentences with the highest mean word frequency, in text order, as an expression."""
+    """The `most` sentences with the highest mean word frequency, in text order.
+
+    The JVM cuts the text into sentences and words; uses are counted and sentences chosen in
+    Arrow batches. A missing text gives null.
+    """
     sentences = F.transform(F.split(text, "[.!?\n]+"), lambda s: F.regexp_replace(s, f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    words = F.transform(sentences, lambda s: without(tokens(s), stop_words))
 
-    def of_parts(parts: Column) -> Column:
-        words = F.transform(parts, lambda s: without(tokens(s), stop_words))
-        return with_value(words, lambda w: with_value(
-            F.map_from_entries(count_terms(F.flatten(w))), lambda uses: chosen(parts, w, uses)))
+    @F.arrow_udf("string")
+    def chosen(parts: pa.Array, lists: pa.Array) -> pa.Array:
+        places = leading_places(lists, most)
+        # Places count within a text, the flat column of sentences over all texts.
+        sizes = pc.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False)
+        kept = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.cumsum(sizes) - sizes, kept) + places.flatten().to_numpy(zero_copy_only=False)
+        told = pa.ListArray.from_arrays(places.offsets, parts.flatten().take(pa.array(at)))
+        return pc.if_else(parts.is_valid(), pc.binary_join(told, ". "), pa.scalar(None, pa.string()))
 
-    def chosen(parts: Column, words: Column, uses: Column) -> Column:
-        def score(w: Column, i: Column) -> Column:
-            total = F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.try_element_at(uses, x))
-            return F.when(F.size(w) > 0, F.struct((-F.round(total / F.size(w), 9)).alias("s"), i.alias("i")))
+    return chosen(sentences, words)
 
-        ranked = F.sort_array(F.filter(F.transform(words, score), lambda x: x.isNotNull()))
-        places = F.sort_array(F.transform(F.slice(ranked, 1, most), lambda x: x["i"]))
-        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), ". ")
 
-    return with_value(sentences, of_parts)
+def leading_places(lists: pa.ListArray, most: int) -> pa.ListArray:
+    """Places of the `most` leading sentences of each text, ascending; a text is a list of lists of words.
+
+    A sentence without words is not chosen; equal means, to nine decimals, go to the earlier sentence.
+    """
+    n_sentences = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    inner = lists.flatten()
+    n_words = pc.list_value_length(inner).fill_null(0).to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(lists)), n_sentences)
+    sentence_of = np.repeat(np.arange(len(inner)), n_words)
+    coded = inner.flatten().dictionary_encode()
+    pairs = text_of[sentence_of] * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+    _, kind, uses = np.unique(pairs, return_inverse=True, return_counts=True)
+    total = np.bincount(sentence_of, uses[kind], len(inner))
+    told = np.flatnonzero(n_words)
+    score = np.round(total[told] / n_words[told], 9)
+    order = told[np.lexsort((told, -score, text_of[told]))]
+    owner = text_of[order]
+    # Place in the order of its own text: those before `most` are kept, then put in text order.
+    kept = np.sort(order[np.arange(len(order)) - np.searchsorted(owner, owner) < most])
+    starts = np.cumsum(n_sentences) - n_sentences
+    places = kept - starts[text_of[kept]]
+    ends = np.append(0, np.cumsum(np.bincount(text_of[kept], minlength=len(lists))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
 
 
 def summary_column(text: Column, make: Callable[[], Summariser] | None = None, attempts: int = 1) -> Column:

@@ -1,16 +1,19 @@
 """Theme centroids and the assignment of each review to the nearest theme of its product.
 
-The themes of a product are packed into one row, so joining them to the reviews keeps
-one row per review, and the best theme is found inside the row. No review is shuffled
-while the packed themes pass the size check for a broadcast.
+Seed words become inverted lists, (product, term) to the themes that use the term. While they
+pass the size check they go to the executors once and no review is shuffled; beyond it each
+review meets the packed themes of its product in a join that keeps one row per review.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from reviewspark.functions.arrays import count_terms, with_value
 from reviewspark.functions.text import tokens, without
 from reviewspark.functions.vectors import cosine, dot, norm, squared_distance, term_norm
 from reviewspark.operators.aggregate import mean_vector
-from reviewspark.runtime import BROADCAST_BYTES, broadcast_if_small
+from reviewspark.runtime import BROADCAST_BYTES, fits
 
 # Scores that agree to this many decimals count as equal, so that the winner does not
 # depend on the order in which products were added up.
@@ -114,31 +117,126 @@ def _best(df: DataFrame, scores: Column) -> DataFrame:
     )
 
 
-def assign_terms(reviews: DataFrame, packed: DataFrame, terms: str = "terms") -> DataFrame:
-    """Nearest theme by cosine of word vectors; adds topic_id and similarity."""
-    seeded = F.flatten(F.transform("themes", lambda t: t["weights"]["term"]))
-    shared = lambda words, seeds: F.map_from_entries(
-        F.filter(words, lambda x: F.array_contains(seeds, x["term"]))
-    )
+@dataclass
+class SeedIndex:
+    """Seed words of many products as inverted lists: (product, term) -> the themes that use it, with weights.
 
-    def scores(tf: Column, length: Column) -> Column:
-        add = lambda acc, w: acc + w["weight"] * F.coalesce(F.try_element_at(tf, w["term"]), F.lit(0))
-        product = lambda t: F.aggregate(t["weights"], F.lit(0.0), add)
-        return F.transform(
-            "themes", lambda t: F.round(cosine(product(t), length, t["norm"]), SCORE_DECIMALS)
-        )
+    `score` works on whole Arrow batches; a review costs its words and the entries they meet.
+    """
+
+    apps: pa.Array  # product ids, in the order the numbers below count them
+    first: np.ndarray  # where a product's themes start in `topics`; one entry more than products
+    topics: np.ndarray
+    norms: np.ndarray
+    terms: pa.Array  # distinct terms, in order
+    entries: np.ndarray  # product * number of terms + term, in order
+    starts: np.ndarray  # where an entry's list starts; one more than entries
+    places: np.ndarray  # theme's place among those of its product
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, products: Iterable[tuple]) -> SeedIndex:
+        """Out of (app_id, [(topic_id, norm, [(term, weight), ...]), ...]); themes in topic order."""
+        apps, first, topics, norms, lists = [], [0], [], [], []
+        for app, packed in products:
+            for place, theme in enumerate(packed):
+                topics.append(theme["topic_id"])
+                norms.append(theme["norm"] or 0.0)
+                lists += [(len(apps), w["term"], place, w["weight"]) for w in theme["weights"]]
+            apps.append(app)
+            first.append(len(topics))
+        terms = sorted({t for _, t, _, _ in lists})
+        number = {t: i for i, t in enumerate(terms)}
+        flat = sorted((app * len(terms) + number[t], place, w) for app, t, place, w in lists)
+        entry, start = np.unique(np.array([x[0] for x in flat], np.int64), return_index=True)
+        return cls(
+            pa.array(apps), np.array(first), np.array(topics, np.int32), np.array(norms, np.float64),
+            pa.array(terms, pa.string()), entry, np.append(start, len(flat)), np.array([x[1] for x in flat], np.int64),
+            np.array([x[2] for x in flat], np.float64))
+
+    def score(self, apps: pa.Array, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Best topic and its cosine for each row; rows without themes get topic 0 and 0."""
+        n = len(apps)
+        if not len(self.topics):
+            return np.zeros(n, np.int32), np.zeros(n)
+        product = pc.index_in(apps.cast(self.apps.type), self.apps).fill_null(-1).to_numpy(zero_copy_only=False)
+        (row, word, uses), terms, length = _counted(words)
+        seed = pc.index_in(terms, self.terms).fill_null(-1).to_numpy(zero_copy_only=False)[word]
+        # Entries that the product has, and what each of them adds to which theme.
+        on = (seed >= 0) & (product[row] >= 0)
+        row, uses, wanted = row[on], uses[on], product[row[on]] * len(self.terms) + seed[on]
+        at = np.searchsorted(self.entries, wanted)
+        on = np.flatnonzero(self.entries[np.minimum(at, len(self.entries) - 1)] == wanted) if len(self.entries) else []
+        row, uses, at = row[on], uses[on], at[on]
+        many = self.starts[at + 1] - self.starts[at]
+        listed = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        # One slot for each row and theme of its product.
+        n_topics = np.where(product >= 0, self.first[product + 1] - self.first[product], 0)
+        ends = np.cumsum(n_topics)
+        slot_row = np.repeat(np.arange(n), n_topics)
+        theme = np.repeat(self.first[product] - ends + n_topics, n_topics) + np.arange(len(slot_row))
+        slot = np.repeat((ends - n_topics)[row], many) + self.places[listed]
+        dots = np.bincount(slot, np.repeat(uses, many) * self.weights[listed], len(slot_row))
+        lengths = length[slot_row] * self.norms[theme]
+        cosines = np.round(np.divide(dots, lengths, out=np.zeros(len(slot_row)), where=lengths > 0), SCORE_DECIMALS)
+        topic, similarity = np.zeros(n, np.int32), np.zeros(n)
+        filled = np.flatnonzero(n_topics)
+        if len(filled):
+            similarity[filled] = np.maximum.reduceat(cosines, (ends - n_topics)[filled])
+            best = np.flatnonzero(cosines == similarity[slot_row])
+            rows, where = np.unique(slot_row[best], return_index=True)
+            topic[rows] = self.topics[theme[best[where]]]
+        return topic, similarity
+
+
+def _counted(words: pa.ListArray) -> tuple:
+    """((row, word, uses), distinct words, length of each row's vector of uses) of a column of word lists."""
+    sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    pairs = np.repeat(np.arange(len(words)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False)
+    pairs, uses = np.unique(pairs, return_counts=True)
+    row, word = np.divmod(pairs, width)
+    length = np.sqrt(np.bincount(row, uses.astype(np.float64) ** 2, len(words)))
+    return (row, word, uses), coded.dictionary, length
+
+
+_ASSIGNED = "topic_id int, similarity double"
+
+
+def _as_struct(topic: np.ndarray, similarity: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(topic, pa.int32()), pa.array(similarity, pa.float64())], ["topic_id", "similarity"])
+
+
+def _with_best(df: DataFrame, best: Column, columns: list[str]) -> DataFrame:
+    return df.withColumn("_best", best).select(*columns, "_best.topic_id", "_best.similarity")
+
+
+def assign_by_index(reviews: DataFrame, index: SeedIndex, words: Column) -> DataFrame:
+    """Nearest theme by an index that goes to the executors once; no review is shuffled."""
+    shared = reviews.sparkSession.sparkContext.broadcast(index)
+
+    @F.arrow_udf(_ASSIGNED)
+    def nearest(apps: pa.Array, lists: pa.Array) -> pa.Array:
+        return _as_struct(*shared.value.score(apps, lists))
+
+    return _with_best(reviews, nearest(F.col("app_id"), words), reviews.columns)
+
+
+def assign_terms(reviews: DataFrame, packed: DataFrame, words: Column) -> DataFrame:
+    """The same where the themes outgrow a broadcast: each review meets the packed row of its product.
+
+    The index of a batch is made of the products that occur in it.
+    """
+
+    @F.arrow_udf(_ASSIGNED)
+    def nearest(apps: pa.Array, themes: pa.Array, lists: pa.Array) -> pa.Array:
+        seen = pc.unique(apps.filter(themes.is_valid()))
+        at = pc.index_in(seen, apps)
+        return _as_struct(*SeedIndex.of(zip(seen.to_pylist(), themes.take(at).to_pylist())).score(apps, lists))
 
     joined = reviews.join(packed, "app_id", "left")
-    return _best(
-        joined,
-        with_value(
-            F.col(terms),
-            lambda words: with_value(
-                with_value(seeded, lambda seeds: shared(words, seeds)),
-                lambda tf: with_value(term_norm(words), lambda length: scores(tf, length)),
-            ),
-        ),
-    )
+    return _with_best(joined, nearest(F.col("app_id"), F.col("themes"), words), reviews.columns)
 
 
 def assign_vectors(
@@ -244,14 +342,22 @@ def _scores(points: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarray:
 
 
 def assign_by_text(
-    reviews: DataFrame, themes: DataFrame, text: str = "review", stop_words: Iterable[str] = ()
+    reviews: DataFrame, themes: DataFrame, text: str = "review", stop_words: Iterable[str] = (), limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Reviews + topic_id by the words they share with the seeds of their product's themes."""
+    """Reviews + topic_id and similarity by the words they share with the seeds of their product's themes.
+
+    Texts are cut into words by the JVM; words are counted and looked up in Arrow batches.
+    A missing text has no words; a product without themes, or a null one, gives topic 0.
+    """
     # A seed word costs its text, a weight and the row layout around both.
     size = F.length(F.array_join("seeds", " ")) * 16 + 256
-    packed = broadcast_if_small(pack_seeds(themes, stop_words), size, measured=themes)
-    vectors = term_vectors(reviews, text, stop_words)
-    return assign_terms(vectors, packed).drop("terms")
+    words = without(tokens(F.coalesce(F.col(text), F.lit(""))), stop_words)
+    packed = pack_seeds(themes, stop_words)
+    if not fits(themes, size, limit):
+        return assign_terms(reviews, packed, words)
+    # Bounded by the measure above.
+    rows = packed.filter("app_id is not null").collect()
+    return assign_by_index(reviews, SeedIndex.of((r["app_id"], r["themes"]) for r in rows), words)
 
 
 def vector_centroids(seeds: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -75,6 +75,18 @@ def broadcast_if_small(
     return F.broadcast(df) if fits(df if measured is None else measured, size, limit) else df
 
 
+def deal_out(df: DataFrame, limit: int = 256 * 1024 * 1024, part: int = 1024 * 1024) -> DataFrame:
+    """The rows of a small input in parts of about `part` bytes, whatever files they come from.
+
+    A small file is one row group, which one task reads and works on alone. Up to `limit`
+    bytes, as the planner measures the scan, the rows are shuffled once; a larger input has
+    row groups enough and is returned as it is, without a shuffle. Filters and column
+    choices of later steps still reach the scan.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(1, -(-size // part))) if size <= limit else df
+
+
 def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that later filters may use without working it out again.
 

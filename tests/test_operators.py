@@ -1,5 +1,6 @@
 """Operators against brute force on small data, among it one group that holds most rows."""
 
+import math
 import random
 import sys
 from collections import Counter, defaultdict
@@ -159,10 +160,47 @@ def test_assignment_edges(spark, dictionary):
 def test_assignment_without_broadcast(spark, dictionary):
     packed = themes.pack_seeds(dictionary)
     assert broadcast_if_small(packed, F.lit(100), limit=100) is packed
-    vectors = themes.term_vectors(review_frame(spark), "review")
-    plain = themes.assign_terms(vectors, packed).select("review_id", "topic_id").collect()
-    hinted = themes.assign_by_text(review_frame(spark), dictionary).select("review_id", "topic_id").collect()
-    assert set(plain) == set(hinted)
+    joined = themes.assign_by_text(review_frame(spark), dictionary, limit=0)
+    index = themes.assign_by_text(review_frame(spark), dictionary)
+    assert joined.columns == index.columns and set(joined.collect()) == set(index.collect())
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_assignment_against_plain_cosines(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    dictionary = [(app, t, f"t{t}", [" ".join(rng.choices(words, k=rng.randint(0, 3))) for _ in range(rng.randint(0, 4))])
+                  for app in range(6) for t in rng.sample(range(20), app)]
+    reviews = [(i, rng.choice([*range(8), None]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(1, 25)))])) for i in range(400)]
+    frame = spark.createDataFrame(reviews, "review_id long, app_id int, review string")
+    seeds = spark.createDataFrame(dictionary, "app_id int, topic_id int, theme string, seeds array<string>")
+
+    def unit(counts):
+        length = math.sqrt(sum(x * x for x in counts.values()))
+        return {w: x / length for w, x in counts.items()} if length else {}
+
+    def best(app, text):
+        review, found = unit(Counter((text or "").split())), []
+        for a, t, _, texts in dictionary:
+            usable = [x for x in texts if x]
+            total = Counter()
+            for x in usable:
+                for w, weight in unit(Counter(x.split())).items():
+                    total[w] += weight / len(usable)
+            if a == app:
+                found.append((-round(sum(x * review.get(w, 0) for w, x in unit(total).items()), 9), t))
+        far, topic = min(found, default=(0, 0))
+        return topic, round(-far, 6) + 0.0
+
+    want = {i: best(app, text) for i, app, text in reviews}
+    for limit in (0, 1 << 20):
+        got = themes.assign_by_text(frame, seeds, limit=limit).collect()
+        assert {r.review_id: (r.topic_id, round(r.similarity, 6)) for r in got} == want
+    none = themes.assign_by_text(frame, seeds.filter("false")).collect()
+    assert {(r.topic_id, r.similarity) for r in none} == {(0, 0.0)}
+    assert themes.assign_by_text(frame.filter("false"), seeds).count() == 0
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
@@ -316,7 +354,8 @@ def test_leading_sentences(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     told = {r.i: r.s for r in df.select("i", summaries.leading_sentences(F.col("t"), 1).alias("s")).collect()}
     assert told == {0: "Combat combat", 1: "", 2: None, 3: "", 4: ""}
-    assert "Python" not in df.select(summaries.summary_column(F.col("t")))._jdf.queryExecution().toString()
+    plan = df.select(summaries.summary_column(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
 
 
 def middle_fails():
