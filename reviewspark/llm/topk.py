@@ -113,10 +113,10 @@ def exact_topk(
     """(query_id, rank, vec_id, score): each query's k largest inner products, ties to the smaller id.
 
     Components become floor(scale * x). Vectors that are null or hold a null or non-finite
-    component, and rows with a null id, take no part; a row equal to another in id and
-    components counts once. Rows that carry the query's id are its own and are left out; a
-    query id with several vectors gives ranks for each, in which candidates of one id stay
-    apart. Only vectors of the query's number of dimensions are compared. With fewer than k
+    component, and rows with a null id, take no part. A candidate row that is repeated counts
+    as often as it is there; a repeated query is one query. Rows that carry the query's id are
+    its own and are left out; a query id with several vectors gives ranks for each, in which
+    candidates of one id stay apart. Only vectors of the query's number of dimensions are compared. With fewer than k
     candidates all are returned. Scores are exact while they fit 63 bits.
 
     Every query block meets every candidate block of its dimensions once: the pairs are
@@ -125,11 +125,14 @@ def exact_topk(
     """
     def clean(df: DataFrame) -> DataFrame:
         v = df.select(F.col(id_col).cast("long").alias("_id"), scaled(F.col(vec_col), scale).alias("_v"))
-        v = v.filter("_id is not null and _v is not null").distinct()
-        return v.select("_id", F.xxhash64("_v").alias("_key"), F.size("_v").alias("_dims"), "_v")
-
-    c_rows, c_n = _blocks(stored(clean(vectors), "vectors"), candidates)
-    q_rows, q_n = _blocks(stored(clean(queries), "queries"), block)
+        v = v.filter("_id is not null and _v is not null").groupBy("_id", "_v").agg(F.count("*").alias("_n"))
+        return v.select("_id", F.xxhash64("_v").alias("_key"), F.size("_v").alias("_dims"), "_v", "_n")
+
+    # Of equal rows no more than k can be among the k best.
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(k).cast("long")))).alias("_copy")
+    each = clean(vectors).select("_id", "_key", "_dims", "_v", copies).drop("_copy")
+    c_rows, c_n = _blocks(stored(each, "vectors"), candidates)
+    q_rows, q_n = _blocks(stored(clean(queries).drop("_n"), "queries"), block)
     pairs = (
         c_n.withColumnRenamed("_n", "_c_n").join(q_n.withColumnRenamed("_n", "_q_n"), "_dims")
         .select("_dims", "_q_n", F.explode(F.sequence(F.lit(0), F.col("_c_n") - 1)).alias("_cb"))

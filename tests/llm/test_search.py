@@ -107,9 +107,9 @@ def test_native_fingerprint(spark):
 
 def plain_topk(rows, k):
     out = []
-    good = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows
-            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q, v in good:
+    good = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for q, v in set(good):
         if q % 100 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in good if c != q and len(w) == len(v))[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
@@ -121,7 +121,7 @@ def test_topk(spark):
     rows = [(i, [rng.gauss(0, 1) for _ in range(19)]) for i in range(700)]
     rows += [(700 + i, rows[i % 5][1]) for i in range(40)]
     rows += [(1000, None), (1001, [None] + [1.0] * 18), (1100, [float("nan")] * 19), (1200, [float("inf")] * 19), (None, [1.0] * 19),
-             (1300, [1.0, 2.0]), (1301, [3.0, -1.0]), (1400, []), (1401, []), rows[0], rows[200], (1500, [0.0] * 19)]
+             (1300, [1.0, 2.0]), (1301, [3.0, -1.0]), (1400, []), (1401, []), rows[0], rows[200], *[rows[7]] * 15, rows[9], rows[9], (1500, [0.0] * 19)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
     for k, block in ((10, 64), (3, 5)):
         got = exact_topk(df, df.filter("vec_id % 100 = 0"), k=k, candidates=block, block=3)
