@@ -11,8 +11,13 @@ from reviewspark.llm.common import fresh, same, stored, text_key
 WINDOW = 3
 
 
+def two_hashes(*values: Column) -> tuple[Column, Column]:
+    """Two hashes of 64 bits. A leading constant changes the seed, so neither follows from the other."""
+    return F.xxhash64(*values).alias("x"), F.xxhash64(F.lit(7), *values).alias("y")
+
+
 def _line_hashes(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(x, F.lit(7)).alias("y")))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.struct(*two_hashes(x)))
 
 
 def _windows(text: Column, width: int) -> Column:
@@ -25,7 +30,7 @@ def _windows(text: Column, width: int) -> Column:
 
         def both(z: Column) -> Column:
             parts = [z[str(i)] for i in range(width)]
-            return F.struct(F.xxhash64(*[p["x"] for p in parts]).alias("x"), F.xxhash64(*[p["y"] for p in parts], F.lit(7)).alias("y"))
+            return F.struct(two_hashes(*[p["x"] for p in parts])[0], two_hashes(*[p["y"] for p in parts])[1])
 
         return F.when(n >= width, F.transform(zipped, both))
 

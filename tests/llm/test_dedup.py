@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reviewspark.llm import passages
 from reviewspark.llm.components import components
@@ -283,3 +284,13 @@ def test_passages_odd_rows(odd, none, spark):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got.collect()} == {(5, 5, 1), (105, 5, 1)}
     assert repeated_passages(odd).count() == 0
     assert repeated_passages(none).count() == 0
+
+
+def test_the_two_line_hashes_are_independent(spark):
+    from reviewspark.llm.line_dedup import two_hashes
+
+    r = spark.createDataFrame([("some line",)], "t string").select(*two_hashes(F.col("t")), F.expr("xxhash64(7)").alias("seed")).first()
+    # The second starts from the hash of a constant, not from the first.
+    assert r.x == xxhash.xxh64_intdigest(b"some line", 42) - (1 << 64) * (xxhash.xxh64_intdigest(b"some line", 42) >> 63)
+    again = xxhash.xxh64_intdigest(b"some line", r.seed % 2**64)
+    assert r.y == again - (1 << 64) * (again >> 63)
