@@ -7,28 +7,39 @@ from pyspark.sql import functions as F
 
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.ranking import top_rows
-from reviewspark.operators.themes import nearest_vectors
-from reviewspark.runtime import broadcast_if_small, cut
+from reviewspark.operators.themes import TermIndex, assign_by_index, nearest_vectors
+from reviewspark.runtime import BROADCAST_BYTES, broadcast_if_small, cut, discard, fits
 
 
 def seeded_kmeans(
-    points: DataFrame, seeds: DataFrame, keys: list[str], vector: str, rounds: int
+    points: DataFrame, seeds: DataFrame, keys: list[str], vector: str, rounds: int, prior: float = 0.0
 ) -> DataFrame:
     """k-means whose i-th centre starts as theme i, so that cluster numbers are topic ids.
 
-    With `keys` every product is clustered for itself, all of them in the same jobs.
-    A theme that lost all its points keeps its last centre. Returns keys, topic_id, centroid.
+    With `keys` every product is clustered for itself, all of them in the same jobs. With a
+    `prior` the seeds stay part of the objective, sum |x - c|^2 + prior * sum |c - seed|^2:
+    a centre moves to the mean of its points and of `prior` more points at its seed, so
+    the themes guide every round and not only the first. A theme that lost all its points
+    goes back to its seed, or without a prior keeps its last centre. Returns keys,
+    topic_id, centroid.
     """
-    centres = cut(seeds)
+    if prior < 0:
+        raise ValueError("prior must not be negative")
+    centres = cut(seeds.select(*keys, "topic_id", "centroid", F.col("centroid").alias("_seed")))
     for _ in range(rounds):
-        placed = nearest_vectors(points, centres, vector, keys, metric="euclidean")
+        placed = nearest_vectors(points, centres.drop("_seed"), vector, keys, metric="euclidean")
         moved = mean_vector(placed, [*keys, "topic_id"], vector, out="_moved")
-        centres = cut(
-            centres.join(moved, [*keys, "topic_id"], "left")
-            .withColumn("centroid", F.coalesce("_moved", "centroid"))
-            .drop("_moved")
-        )
-    return centres
+        if prior:
+            sized = placed.groupBy(*keys, "topic_id").agg(F.count(F.lit(1)).alias("_n"))
+            moved = moved.join(sized, [*keys, "topic_id"])
+            pulled = F.zip_with("_moved", "_seed", lambda x, s: (x * F.col("_n") + s * prior) / (F.col("_n") + prior))
+            new = F.coalesce(pulled, "_seed")
+        else:
+            new = F.coalesce("_moved", "centroid")
+        further = cut(centres.join(moved, [*keys, "topic_id"], "left").select(*keys, "topic_id", new.alias("centroid"), "_seed"))
+        discard(centres)
+        centres = further
+    return centres.drop("_seed")
 
 
 def predict(points: DataFrame, centres: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -69,31 +80,58 @@ def nearest_terms(
     )
 
 
+def nearest_centres(
+    docs: DataFrame, centres: DataFrame, key: str, weights: str = "weights", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """`docs` with topic_id: by an index of the centres while they fit a broadcast, else by `nearest_terms`."""
+    if fits(centres, F.length(F.col("term").cast("string")) + 64, limit):
+        index = TermIndex.of(centres.select("app_id", "topic_id", "term", "weight").toArrow())
+        return assign_by_index(docs, index, F.col(weights), metric="euclidean").drop("similarity")
+    return docs.join(nearest_terms(docs, centres, key, weights), ["app_id", key])
+
+
 def seeded_text_kmeans(
-    docs: DataFrame, seeds: DataFrame, key: str, rounds: int, weights: str = "weights"
+    docs: DataFrame, seeds: DataFrame, key: str, rounds: int, weights: str = "weights", prior: float = 0.0,
+    limit: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """`seeded_kmeans` on sparse vectors that stay sparse.
+    """`seeded_kmeans` on sparse vectors that stay sparse, with the same `prior`.
 
     Returns the centres (app_id, topic_id, term, weight) and the labels of the last round.
+    A round reads the texts' weights once: each text gets its label where it is read, and
+    only sums per topic and term leave the task.
     """
-    centres = cut(seeds)
+    if prior < 0:
+        raise ValueError("prior must not be negative")
+    seeds = cut(seeds.select("app_id", "topic_id", "term", "weight"))
+    # A product without seeds has nothing to move: its texts keep topic 0.
+    seeded = seeds.select("app_id").distinct()
+    centres = seeds
     for _ in range(rounds):
-        labels = nearest_terms(docs, centres, key, weights)
-        sized = labels.groupBy("app_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
-        # A product without seeds has nothing to move: its texts keep topic 0.
-        seeded = labels.join(seeds.select("app_id").distinct(), "app_id", "left_semi")
-        moved = (
-            docs.join(seeded, ["app_id", key])
-            .select("app_id", "topic_id", F.inline_outer(weights))
-            .filter(F.col("term").isNotNull())
-            .groupBy("app_id", "topic_id", "term")
-            .agg(F.sum("weight").alias("total"))
-            .join(sized, ["app_id", "topic_id"])
-            .select("app_id", "topic_id", "term", (F.col("total") / F.col("n")).alias("weight"))
-        )
-        kept = centres.join(sized, ["app_id", "topic_id"], "left_anti")
-        centres = cut(moved.unionByName(kept))
-    return centres, nearest_terms(docs, centres, key, weights)
+        labelled = nearest_centres(docs.select("app_id", key, weights), centres, key, weights, limit)
+        # One entry more counts the text itself.
+        own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("weight"))
+        entries = F.transform(weights, lambda e: F.struct(e["term"].cast("string").alias("term"), e["weight"].alias("weight")))
+        sums = cut(
+            labelled.select("app_id", "topic_id", F.inline(F.concat(entries, F.array(own))))
+            .groupBy("app_id", "topic_id", "term").agg(F.sum("weight").alias("total"))
+            .join(seeded, "app_id", "left_semi"))
+        sized = sums.filter("term is null").select("app_id", "topic_id", F.col("total").alias("n"))
+        totals = sums.filter("term is not null")
+        if prior:
+            pull = seeds.select("app_id", "topic_id", F.col("term").cast("string").alias("term"), (F.col("weight") * prior).alias("total"))
+            totals = totals.unionByName(pull).groupBy("app_id", "topic_id", "term").agg(F.sum("total").alias("total"))
+            moved = totals.join(sized, ["app_id", "topic_id"], "left").select(
+                "app_id", "topic_id", "term", (F.col("total") / (F.coalesce("n", F.lit(0.0)) + prior)).alias("weight"))
+        else:
+            moved = totals.join(sized, ["app_id", "topic_id"]).select(
+                "app_id", "topic_id", "term", (F.col("total") / F.col("n")).alias("weight"))
+            moved = moved.unionByName(centres.join(sized, ["app_id", "topic_id"], "left_anti").withColumn("term", F.col("term").cast("string")))
+        further = cut(moved)
+        if centres is not seeds:
+            discard(centres)
+        discard(sums)
+        centres = further
+    return centres, nearest_centres(docs, centres, key, weights, limit).select("app_id", key, "topic_id")
 
 
 def free_topics(

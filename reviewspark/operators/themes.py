@@ -118,87 +118,122 @@ def _best(df: DataFrame, scores: Column) -> DataFrame:
 
 
 @dataclass
-class SeedIndex:
-    """Seed words of many products as inverted lists: (product, term) -> the themes that use it, with weights.
+class Entries:
+    """The terms of a column of texts, one entry for each row and term."""
 
-    `score` works on whole Arrow batches; a review costs its words and the entries they meet.
+    row: np.ndarray
+    term: np.ndarray  # place in `terms`
+    weight: np.ndarray
+    terms: pa.Array
+    length: np.ndarray  # of each row's vector
+
+    @classmethod
+    def of_words(cls, words: pa.ListArray) -> Entries:
+        """Uses of every word, out of lists of words."""
+        coded = words.flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        pairs, uses = np.unique(_owners(words) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = np.divmod(pairs, width)
+        return cls._measured(row, term, uses.astype(np.float64), coded.dictionary, len(words))
+
+    @classmethod
+    def of_weights(cls, weights: pa.ListArray) -> Entries:
+        """Out of lists of (term, weight)."""
+        term, weight = weights.flatten().flatten()
+        coded = term.dictionary_encode()
+        return cls._measured(_owners(weights), coded.indices.to_numpy(zero_copy_only=False),
+                             weight.cast(pa.float64()).to_numpy(zero_copy_only=False), coded.dictionary, len(weights))
+
+    @classmethod
+    def _measured(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array, n: int) -> Entries:
+        return cls(row, term, weight, terms, np.sqrt(np.bincount(row, weight**2, n)))
+
+
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+
+
+@dataclass
+class TermIndex:
+    """Sparse vectors of many products' topics as inverted lists: (product, term) to the topics that use it, with weights.
+
+    `score` works on whole Arrow batches; a text costs its terms and the list entries they meet.
     """
 
     apps: pa.Array  # product ids, in the order the numbers below count them
-    first: np.ndarray  # where a product's themes start in `topics`; one entry more than products
+    first: np.ndarray  # where a product's topics start in `topics`; one entry more than products
     topics: np.ndarray
     norms: np.ndarray
-    terms: pa.Array  # distinct terms, in order
-    entries: np.ndarray  # product * number of terms + term, in order
-    starts: np.ndarray  # where an entry's list starts; one more than entries
-    places: np.ndarray  # theme's place among those of its product
+    terms: pa.Array
+    keys: np.ndarray  # product * number of terms + term, in order
+    starts: np.ndarray  # where a key's list starts; one more than keys
+    places: np.ndarray  # topic's place among those of its product
     weights: np.ndarray
 
     @classmethod
-    def of(cls, products: Iterable[tuple]) -> SeedIndex:
-        """Out of (app_id, [(topic_id, norm, [(term, weight), ...]), ...]); themes in topic order."""
-        apps, first, topics, norms, lists = [], [0], [], [], []
-        for app, packed in products:
-            for place, theme in enumerate(packed):
-                topics.append(theme["topic_id"])
-                norms.append(theme["norm"] or 0.0)
-                lists += [(len(apps), w["term"], place, w["weight"]) for w in theme["weights"]]
-            apps.append(app)
-            first.append(len(topics))
-        terms = sorted({t for _, t, _, _ in lists})
-        number = {t: i for i, t in enumerate(terms)}
-        flat = sorted((app * len(terms) + number[t], place, w) for app, t, place, w in lists)
-        entry, start = np.unique(np.array([x[0] for x in flat], np.int64), return_index=True)
-        return cls(
-            pa.array(apps), np.array(first), np.array(topics, np.int32), np.array(norms, np.float64),
-            pa.array(terms, pa.string()), entry, np.append(start, len(flat)), np.array([x[1] for x in flat], np.int64),
-            np.array([x[2] for x in flat], np.float64))
-
-    def score(self, apps: pa.Array, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Best topic and its cosine for each row; rows without themes get topic 0 and 0."""
+    def of(cls, rows: pa.Table) -> TermIndex:
+        """Out of (app_id, topic_id, term, weight); a null term stands for a topic without words."""
+        rows = rows.filter(pc.is_valid(rows["app_id"])).combine_chunks()
+        app = rows["app_id"].combine_chunks().dictionary_encode()
+        product = app.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        topic = rows["topic_id"].to_numpy().astype(np.int64)
+        order = np.lexsort((topic, product))
+        starts_topic = np.ones(len(order), bool)
+        starts_topic[1:] = (np.diff(product[order]) != 0) | (np.diff(topic[order]) != 0)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(starts_topic) - 1
+        heads = order[starts_topic]
+        first = np.searchsorted(product[heads], np.arange(len(app.dictionary) + 1))
+        weight = rows["weight"].combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+        norms = np.sqrt(np.bincount(number, weight**2, len(heads)))
+        term = rows["term"].combine_chunks().dictionary_encode()
+        listed = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+        key = product[listed] * len(term.dictionary) + term.indices.fill_null(0).to_numpy(zero_copy_only=False)[listed]
+        place = (number - first[product])[listed]
+        order = np.lexsort((place, key))
+        keys, starts = np.unique(key[order], return_index=True)
+        return cls(app.dictionary, first, topic[heads].astype(np.int32), norms, term.dictionary, keys,
+                   np.append(starts, len(order)), place[order], weight[listed][order])
+
+    def score(self, apps: pa.Array, x: Entries, metric: str = "cosine") -> tuple[np.ndarray, np.ndarray]:
+        """Best topic and its score for each row, the lower topic on a tie; rows without topics get topic 0 and 0.
+
+        The score is the cosine, or the negative squared distance less the text's own length.
+        """
         n = len(apps)
+        topic, best = np.zeros(n, np.int32), np.zeros(n)
         if not len(self.topics):
-            return np.zeros(n, np.int32), np.zeros(n)
+            return topic, best
         product = pc.index_in(apps.cast(self.apps.type), self.apps).fill_null(-1).to_numpy(zero_copy_only=False)
-        (row, word, uses), terms, length = _counted(words)
-        seed = pc.index_in(terms, self.terms).fill_null(-1).to_numpy(zero_copy_only=False)[word]
-        # Entries that the product has, and what each of them adds to which theme.
-        on = (seed >= 0) & (product[row] >= 0)
-        row, uses, wanted = row[on], uses[on], product[row[on]] * len(self.terms) + seed[on]
-        at = np.searchsorted(self.entries, wanted)
-        on = np.flatnonzero(self.entries[np.minimum(at, len(self.entries) - 1)] == wanted) if len(self.entries) else []
-        row, uses, at = row[on], uses[on], at[on]
+        term = pc.index_in(x.terms.cast(self.terms.type), self.terms).fill_null(-1).to_numpy(zero_copy_only=False)[x.term]
+        # Keys that the product has, and what each of them adds to which topic.
+        on = (term >= 0) & (product[x.row] >= 0)
+        row, weight, wanted = x.row[on], x.weight[on], product[x.row[on]] * np.int64(len(self.terms)) + term[on]
+        at = np.searchsorted(self.keys, wanted)
+        on = np.flatnonzero(np.append(self.keys, -1)[at] == wanted)
+        row, weight, at = row[on], weight[on], at[on]
         many = self.starts[at + 1] - self.starts[at]
-        listed = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        # One slot for each row and theme of its product.
+        entry = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        # One slot for each row and topic of its product.
         n_topics = np.where(product >= 0, self.first[product + 1] - self.first[product], 0)
         ends = np.cumsum(n_topics)
         slot_row = np.repeat(np.arange(n), n_topics)
-        theme = np.repeat(self.first[product] - ends + n_topics, n_topics) + np.arange(len(slot_row))
-        slot = np.repeat((ends - n_topics)[row], many) + self.places[listed]
-        dots = np.bincount(slot, np.repeat(uses, many) * self.weights[listed], len(slot_row))
-        lengths = length[slot_row] * self.norms[theme]
-        cosines = np.round(np.divide(dots, lengths, out=np.zeros(len(slot_row)), where=lengths > 0), SCORE_DECIMALS)
-        topic, similarity = np.zeros(n, np.int32), np.zeros(n)
+        which = np.repeat(self.first[product] - ends + n_topics, n_topics) + np.arange(len(slot_row))
+        slot = np.repeat((ends - n_topics)[row], many) + self.places[entry]
+        dots = np.bincount(slot, np.repeat(weight, many) * self.weights[entry], len(slot_row))
+        if metric == "cosine":
+            lengths = x.length[slot_row] * self.norms[which]
+            scores = np.divide(dots, lengths, out=np.zeros(len(slot_row)), where=lengths > 0)
+        else:
+            scores = 2 * dots - self.norms[which] ** 2
+        scores = np.round(scores, SCORE_DECIMALS)
         filled = np.flatnonzero(n_topics)
         if len(filled):
-            similarity[filled] = np.maximum.reduceat(cosines, (ends - n_topics)[filled])
-            best = np.flatnonzero(cosines == similarity[slot_row])
-            rows, where = np.unique(slot_row[best], return_index=True)
-            topic[rows] = self.topics[theme[best[where]]]
-        return topic, similarity
-
-
-def _counted(words: pa.ListArray) -> tuple:
-    """((row, word, uses), distinct words, length of each row's vector of uses) of a column of word lists."""
-    sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
-    coded = words.flatten().dictionary_encode()
-    width = max(1, len(coded.dictionary))
-    pairs = np.repeat(np.arange(len(words)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False)
-    pairs, uses = np.unique(pairs, return_counts=True)
-    row, word = np.divmod(pairs, width)
-    length = np.sqrt(np.bincount(row, uses.astype(np.float64) ** 2, len(words)))
-    return (row, word, uses), coded.dictionary, length
+            best[filled] = np.maximum.reduceat(scores, (ends - n_topics)[filled])
+            found = np.flatnonzero(scores == best[slot_row])
+            rows, where = np.unique(slot_row[found], return_index=True)
+            topic[rows] = self.topics[which[found[where]]]
+        return topic, best
 
 
 _ASSIGNED = "topic_id int, similarity double"
@@ -212,15 +247,19 @@ def _with_best(df: DataFrame, best: Column, columns: list[str]) -> DataFrame:
     return df.withColumn("_best", best).select(*columns, "_best.topic_id", "_best.similarity")
 
 
-def assign_by_index(reviews: DataFrame, index: SeedIndex, words: Column) -> DataFrame:
-    """Nearest theme by an index that goes to the executors once; no review is shuffled."""
-    shared = reviews.sparkSession.sparkContext.broadcast(index)
+def assign_by_index(texts: DataFrame, index: TermIndex, terms: Column, metric: str = "cosine") -> DataFrame:
+    """Nearest topic by an index that goes to the executors once; no text is shuffled.
+
+    `terms` are words or (term, weight) entries.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(index)
 
     @F.arrow_udf(_ASSIGNED)
     def nearest(apps: pa.Array, lists: pa.Array) -> pa.Array:
-        return _as_struct(*shared.value.score(apps, lists))
+        weighted = pa.types.is_struct(lists.type.value_type)
+        return _as_struct(*shared.value.score(apps, Entries.of_weights(lists) if weighted else Entries.of_words(lists), metric))
 
-    return _with_best(reviews, nearest(F.col("app_id"), words), reviews.columns)
+    return _with_best(texts, nearest(F.col("app_id"), terms), texts.columns)
 
 
 def assign_terms(reviews: DataFrame, packed: DataFrame, words: Column) -> DataFrame:
@@ -232,13 +271,25 @@ def assign_terms(reviews: DataFrame, packed: DataFrame, words: Column) -> DataFr
     @F.arrow_udf(_ASSIGNED)
     def nearest(apps: pa.Array, themes: pa.Array, lists: pa.Array) -> pa.Array:
         seen = pc.unique(apps.filter(themes.is_valid()))
-        at = pc.index_in(seen, apps)
-        return _as_struct(*SeedIndex.of(zip(seen.to_pylist(), themes.take(at).to_pylist())).score(apps, lists))
+        return _as_struct(*TermIndex.of(_unpacked(seen, themes.take(pc.index_in(seen, apps)))).score(apps, Entries.of_words(lists)))
 
     joined = reviews.join(packed, "app_id", "left")
     return _with_best(joined, nearest(F.col("app_id"), F.col("themes"), words), reviews.columns)
 
 
+def _unpacked(apps: pa.Array, themes: pa.ListArray) -> pa.Table:
+    """Packed rows as (app_id, topic_id, term, weight); a theme without words has a null term."""
+    theme = themes.flatten()
+    lists = theme.field("weights")
+    owner, empty = _owners(lists), np.flatnonzero(pc.list_value_length(lists).to_numpy(zero_copy_only=False) == 0)
+    at = pa.array(np.append(owner, empty))
+    term, weight = lists.flatten().flatten()
+    return pa.table({
+        "app_id": apps.take(pa.array(_owners(themes))).take(at), "topic_id": theme.field("topic_id").take(at),
+        "term": pa.concat_arrays([term, pa.nulls(len(empty), term.type)]),
+        "weight": pa.concat_arrays([weight, pa.nulls(len(empty), weight.type)])})
+
+
 def assign_vectors(
     df: DataFrame, packed: DataFrame, vector: str, keys: list[str], metric: str = "cosine"
 ) -> DataFrame:
@@ -352,12 +403,10 @@ def assign_by_text(
     # A seed word costs its text, a weight and the row layout around both.
     size = F.length(F.array_join("seeds", " ")) * 16 + 256
     words = without(tokens(F.coalesce(F.col(text), F.lit(""))), stop_words)
-    packed = pack_seeds(themes, stop_words)
     if not fits(themes, size, limit):
-        return assign_terms(reviews, packed, words)
+        return assign_terms(reviews, pack_seeds(themes, stop_words), words)
     # Bounded by the measure above.
-    rows = packed.filter("app_id is not null").collect()
-    return assign_by_index(reviews, SeedIndex.of((r["app_id"], r["themes"]) for r in rows), words)
+    return assign_by_index(reviews, TermIndex.of(_seed_weights(themes, stop_words).toArrow()), words)
 
 
 def vector_centroids(seeds: DataFrame, vector: str = "embedding") -> DataFrame:
