@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -88,7 +89,8 @@ class PieceModel:
     longest: int
     unknown: float
     splits: bool  # whether no piece reaches over a place where texts are cut into segments
-    cache: dict = field(default_factory=dict, repr=False)
+    young: dict[str, bytes] = field(default_factory=dict, repr=False)
+    old: dict[str, bytes] = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, path: str = MODEL, log_scores: str = "zipf") -> PieceModel:
@@ -227,50 +229,56 @@ class PieceModel:
             out.append(tuple(reversed(ids)))
         return out
 
-    def _learn(self, segments: Iterable[str]) -> None:
-        """Put new segments into the cache."""
+    def _learn(self, segments: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of new segments."""
         by_length: dict[int, list[tuple[bytes, str]]] = {}
         for s in segments:
             d = s.encode("utf-8", "surrogatepass")
             by_length.setdefault(len(d), []).append((d, s))
+        got: dict[str, bytes] = {}
         part: list[tuple[bytes, str]] = []
         for length in sorted(by_length):
             if length > SHORT:
-                for d, s in by_length[length]:
-                    self.cache[s] = self._viterbi(d)
+                got.update((s, _packed(self._viterbi(d))) for d, s in by_length[length])
                 continue
             # Segments of one length together, with those of a few bytes less where there are few.
             if part and (len(part) > 1024 or length > len(part[0][0]) + 6):
-                self._learn_together(part)
+                self._learn_together(part, got)
                 part = []
             part += by_length[length]
         if part:
-            self._learn_together(part)
+            self._learn_together(part, got)
+        return got
 
-    def _learn_together(self, part: list[tuple[bytes, str]]) -> None:
+    def _learn_together(self, part: list[tuple[bytes, str]], got: dict[str, bytes]) -> None:
         for at in range(0, len(part), 8192):
             some = part[at : at + 8192]
             for (_, s), ids in zip(some, self._viterbi_many([d for d, _ in some])):
-                self.cache[s] = ids
-
-    def encode_many(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of every text; the new segments of all the texts are worked out together."""
-        out: list[list[int] | None] = [None if t is None else [] for t in texts]
+                got[s] = _packed(ids)
+
+    def _remembered(self, wanted: set[str]) -> dict[str, bytes]:
+        """Packed ids of the wanted segments. What has not been met for CACHE new ones is forgotten."""
+        got = {w: x for w in wanted if (x := self.young.get(w) or self.old.get(w)) is not None}
+        got.update(self._learn(w for w in wanted if w not in got))
+        if len(self.young) + len(got) > CACHE:
+            self.old, self.young = self.young, {}
+        self.young.update((w, x) for w, x in got.items() if len(w) <= SHORT)
+        return got
+
+    def encode_packed(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of every text, four bytes each; the new segments of all the texts are worked out together."""
+        out: list[list[bytes] | None] = [None if t is None else [] for t in texts]
         waiting: list[tuple[int, list[str]]] = []
         held = 0
 
         def flush() -> None:
             nonlocal waiting, held
-            new = {s for _, parts in waiting for s in parts if s not in self.cache}
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = {s for _, parts in waiting for s in parts}
-            self._learn(new)
-            find = self.cache.__getitem__
+            wanted: set[str] = set()
+            for _, parts in waiting:
+                wanted.update(parts)
+            find = self._remembered(wanted).__getitem__
             for i, parts in waiting:
-                ids = out[i]
-                for piece in map(find, parts):
-                    ids.extend(piece)
+                out[i].append(b"".join(map(find, parts)))
             waiting, held = [], 0
 
         for i, t in enumerate(texts):
@@ -289,7 +297,10 @@ class PieceModel:
             if held >= TAKE:
                 flush()
         flush()
-        return out
+        return [None if x is None else b"".join(x) for x in out]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int] | None]:
+        return [None if x is None else np.frombuffer(x, "<i4").tolist() for x in self.encode_packed(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of a list of ids: markers become spaces, byte pieces their bytes, and the leading space goes."""
@@ -297,6 +308,10 @@ class PieceModel:
         return data.removeprefix(" ")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
                  keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, ids, n_tokens, n_bytes, round_trip) per document, from its whole text.
@@ -317,19 +332,27 @@ def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        low, high = min(m.byte_ids), max(m.byte_ids)
-        byte = set(m.byte_ids)
+        pieces = pa.array(m.content, pa.binary())
+        is_byte = np.zeros(len(m.content), bool)
+        is_byte[m.byte_ids] = True
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = part.column("_piece_text").to_pylist()
-                ids = m.encode_many(texts)
-                n = [0 if x is None else len(x) for x in ids]
-                n_bytes = [0 if x is None else sum(1 for i in x if low <= i <= high and i in byte) for x in ids]
-                same = [None if x is None else m.decode(x) == t for x, t in zip(ids, texts)]
+                packed = m.encode_packed(texts)
+                ids = np.frombuffer(b"".join(x for x in packed if x), "<i4")
+                ends = np.append(0, np.cumsum([len(x or b"") // 4 for x in packed]))
+                missing = np.array([x is None for x in packed])
+                n_bytes = np.append(0, np.cumsum(is_byte[ids]))[ends]
+                data = pieces.take(pa.array(ids))
+                places = np.frombuffer(data.buffers()[1], np.int32, len(ids) + 1)[ends] if len(ids) else ends
+                content = data.buffers()[2].to_pybytes() if len(ids) else b""
+                same = [None if t is None else content[i:j].removeprefix(b" ") == t.encode("utf-8", "surrogatepass")
+                        for t, i, j in zip(texts, places, places[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(missing, False)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()),
-                     pa.array(n_bytes, pa.int64()), pa.array(same, pa.bool_())],
+                    [*(part.column(c) for c in names), lists, pa.array(np.diff(ends), pa.int64()),
+                     pa.array(np.diff(n_bytes), pa.int64()), pa.array(same, pa.bool_())],
                     [*names, "ids", "n_tokens", "n_bytes", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(keep or []), F.col(text_col).alias("_piece_text"))
