@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from reviewspark.catalogue.binding import table
 from reviewspark.catalogue.registry import query
-from reviewspark.operators.aggregate import mean_vector
+from reviewspark.operators import sketches
+from reviewspark.operators.aggregate import exact_quantiles, mean_vector
 from reviewspark.operators.themes import nearest_vectors
 from reviewspark.runtime import cut, work_dir
-from reviewspark.streaming import incremental
+from reviewspark.streaming import incremental, windows
 
 
 _VECTORS = "vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
@@ -92,3 +93,50 @@ def incremental_labels(spark, sf):
     incremental.move_centroids(
         stream, _centres(spark, sf), "embedding", target, checkpoint, labels=labels, key="vec_id").awaitTermination()
     return spark.read.parquet(labels).select("vec_id", "topic_id")
+
+
+_DAYS = """SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(value) AS n_values,
+  round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY ALL"""
+
+
+@query(_DAYS)
+def windowed_event_counts(spark, sf):
+    """Counts per day of event time out of the state store, from a stream that arrives in four batches."""
+    source, target, checkpoint = (work_dir(spark, x) for x in ("arriving", "windows", "progress"))
+    # Files in the order of time, each a batch of the stream.
+    rows = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rows.repartitionByRange(4, "ts").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    measures = [F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"),
+                F.max("value").alias("most")]
+    # The files may be listed in any order, so the delay covers the month.
+    windows.count_windows(stream, ["event_type"], "ts", "1 day", "31 days", measures, target, checkpoint).awaitTermination()
+    return windows.current(spark, target).select(
+        "event_type", F.col("start").cast("date").alias("day"), "n", "n_values", F.round("total", 4).alias("total"), "most")
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days, true AS distinct_fits, true AS median_fits,
+  true AS p95_fits, (SELECT list(c ORDER BY c DESC) FROM (SELECT count(*) AS c FROM events i WHERE i.event_type = e.event_type
+    GROUP BY user_id ORDER BY c DESC LIMIT 3)) AS top_counts
+FROM events e GROUP BY event_type""")
+def sketched_days(spark, sf):
+    """Sketches kept per type and day and merged: how they compare with exact measures, and the counts of the most frequent users."""
+    rows = table(spark, sf, "events").select("event_type", F.col("ts").cast("date").alias("day"), "user_id", "value")
+    kept = work_dir(spark, "sketches")
+    sketches.put_days(sketches.sketches(rows, ["event_type", "day"], "value", "user_id"), kept, "day")
+    # One day is put in anew; the others are not read for it.
+    again = rows.filter(F.col("day") == F.lit("2024-01-07").cast("date"))
+    sketches.put_days(sketches.sketches(again, ["event_type", "day"], "value", "user_id"), kept, "day")
+    days = sketches.read_days(spark, kept)
+    whole = sketches.merged(days, ["event_type"]).join(
+        days.groupBy("event_type").agg(F.count(F.lit(1)).alias("days")), "event_type")
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    # A quantile of the sketch lies between the exact ones a little below and above its rank.
+    about = {f"{n}_{side}": p + d * 2 * sketches.RANK_ERROR for n, p in (("median", 0.5), ("p95", 0.95)) for side, d in (("lo", -1), ("hi", 1))}
+    exact = exact.join(exact_quantiles(rows, ["event_type"], "value", about), "event_type")
+    fits = lambda n, p: sketches.quantile(p).between(F.col(f"{n}_lo"), F.col(f"{n}_hi"))
+    return whole.join(exact, "event_type").select(
+        "event_type", "n", "days",
+        (F.abs(sketches.distinct_count() / F.col("users") - 1) <= 4 * sketches.DISTINCT_ERROR).alias("distinct_fits"),
+        fits("median", 0.5).alias("median_fits"), fits("p95", 0.95).alias("p95_fits"),
+        F.transform(sketches.frequent_items(3), lambda x: x["count"]).alias("top_counts"))

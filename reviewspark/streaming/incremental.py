@@ -60,6 +60,11 @@ def _own_target(spark: SparkSession, target: str, checkpoint: str) -> None:
         raise ValueError(f"{target} holds the results of a run with another checkpoint")
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def count_themes(
     stream: DataFrame, assign: Callable[[DataFrame], DataFrame], keys: list[str], target: str, checkpoint: str
 ) -> StreamingQuery:
@@ -109,6 +114,9 @@ def move_centroids(
             .write.mode("overwrite")
             .parquet(f"{target}/state={batch_id}")
         )
+        # A batch that is run again needs the state before it, and no older one.
+        if batch_id > 0:
+            _delete(spark, f"{target}/state={batch_id - 2}")
         if labels is not None:
             moved = centroids_of(spark.read.parquet(f"{target}/state={batch_id}"))
             named = nearest_vectors(batch, moved, vector, [], metric="euclidean")
