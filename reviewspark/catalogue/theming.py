@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reviewspark.catalogue.binding import (
@@ -10,8 +12,10 @@ from reviewspark.catalogue.binding import (
 )
 from reviewspark.catalogue.registry import query
 from reviewspark.operators import aggregate, ranking
+from reviewspark.functions.text import tokens
+from reviewspark.operators.folding import TopValues, fold_groups, with_themes
 from reviewspark.operators.themes import (
-    assign_by_text, nearest_vectors, seed_centroids, vector_centroids,
+    Entries, TermIndex, assign_by_text, nearest_vectors, seed_centroids, seed_weights, vector_centroids,
 )
 from reviewspark.plans import report
 from reviewspark.runtime import cut
@@ -225,6 +229,39 @@ def aggregate_alignment(spark, sf):
     )
 
 
+@query("WITH " + COUNTED_SQL + """
+SELECT app_id, topic_id, review_count, positive, negative, unvoted FROM counted""")
+def per_product_report(spark, sf):
+    """Each product with its themes in a function of its own; a product of more than 100 reviews goes in slices."""
+
+    def count(key, reviews, weights):
+        index = TermIndex.of(weights.select(["app_id", "topic_id", "term", "weight"]))
+        words = reviews.column("words").combine_chunks()
+        topic, _ = index.score(reviews.column("app_id").combine_chunks(), Entries.of_words(words))
+        # 0 against, 1 for, 2 without a vote
+        vote = reviews.column("voted_up").cast(pa.int8()).fill_null(2).to_numpy()
+        topics, of = np.unique(topic, return_inverse=True)
+        n = np.bincount(of * 3 + vote, minlength=3 * len(topics)).reshape(-1, 3)
+        columns = [[key[0]] * len(topics), topics, n.sum(axis=1), n[:, 1], n[:, 0], n[:, 2]]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["app_id", "topic_id", "review_count", "positive", "negative", "unvoted"])
+
+    rows = english_reviews(spark, sf).select("app_id", "review_id", "voted_up", tokens(F.col("review")).alias("words"))
+    parts = with_themes(rows, seed_weights(themes(spark)), "app_id", "review_id", count,
+                        "app_id int, topic_id int, review_count long, positive long, negative long, unvoted long", most=100)
+    return aggregate.merge_counts(parts, *report.KEYS)
+
+
+@query("""SELECT lang, n_chars AS value, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE n_chars IS NOT NULL
+GROUP BY lang, n_chars QUALIFY dense_rank() OVER (PARTITION BY lang ORDER BY n_chars DESC) <= 5""")
+def largest_values_per_language(spark, sf):
+    """The five largest lengths of each language with the rows that have them, by an aggregate with a state of its own."""
+    rows = table(spark, sf, "documents").select("lang", "n_chars", "doc_id")
+    top = fold_groups(rows, ["lang"], ["n_chars", "doc_id"], TopValues("n_chars", "doc_id", 5),
+                      "top array<struct<value: bigint, n: bigint, first_id: bigint>>")
+    return top.select("lang", F.inline("top"))
+
+
 @query("""WITH n AS (SELECT text, l.label AS topic FROM documents d JOIN embeddings l ON l.vec_id = d.doc_id),
 m AS (SELECT n.topic, d.n_chars FROM n JOIN documents d ON d.text = n.text),
 c AS (SELECT topic, count(*) AS mentions FROM n GROUP BY 1),

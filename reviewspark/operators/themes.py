@@ -55,7 +55,7 @@ def unit_weights(df: DataFrame, terms: str, out: str) -> DataFrame:
     return df.withColumn(out, scaled)
 
 
-def _seed_weights(themes: DataFrame, stop_words: Iterable[str]) -> DataFrame:
+def seed_weights(themes: DataFrame, stop_words: Iterable[str] = ()) -> DataFrame:
     """app_id, topic_id, term, weight; one row with a null term for a theme without words.
 
     Laid out by product once, which serves every grouping up to the packed rows.
@@ -76,7 +76,7 @@ def _seed_weights(themes: DataFrame, stop_words: Iterable[str]) -> DataFrame:
 
 def seed_centroids(themes: DataFrame, stop_words: Iterable[str] = ()) -> DataFrame:
     """Mean of the unit word vectors of a theme's seeds: app_id, topic_id, term, weight."""
-    return _seed_weights(themes, stop_words).filter(F.col("term").isNotNull())
+    return seed_weights(themes, stop_words).filter(F.col("term").isNotNull())
 
 
 def _pack(per_theme: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -90,7 +90,7 @@ def pack_seeds(themes: DataFrame, stop_words: Iterable[str] = ()) -> DataFrame:
     """Product rows for `assign_terms`; themes without usable seeds get an empty vector."""
     entry = F.when(F.col("term").isNotNull(), F.struct("term", "weight"))
     per_theme = (
-        _seed_weights(themes, stop_words)
+        seed_weights(themes, stop_words)
         .groupBy("app_id", "topic_id")
         .agg(F.sort_array(F.collect_list(entry)).alias("weights"))
         .withColumn("norm", term_norm(F.col("weights"), "weight"))
@@ -406,7 +406,7 @@ def assign_by_text(
     if not fits(themes, size, limit):
         return assign_terms(reviews, pack_seeds(themes, stop_words), words)
     # Bounded by the measure above.
-    return assign_by_index(reviews, TermIndex.of(_seed_weights(themes, stop_words).toArrow()), words)
+    return assign_by_index(reviews, TermIndex.of(seed_weights(themes, stop_words).toArrow()), words)
 
 
 def vector_centroids(seeds: DataFrame, vector: str = "embedding") -> DataFrame:
