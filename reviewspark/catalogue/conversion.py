@@ -9,7 +9,7 @@ from reviewspark.catalogue.registry import query
 from reviewspark.functions.arrays import field_of_each
 from reviewspark.operators.aggregate import counts_by
 from reviewspark.runtime import work_dir
-from reviewspark.sources import raw_json, sinks
+from reviewspark.sources import damaged, labelled, raw_json, sinks
 from reviewspark.sources import reviews as inputs
 
 # Reviews per nested document, like the pages a collector stores.
@@ -249,3 +249,26 @@ def manifest(spark, sf):
     return raw_json.manifest(rows).select(
         "app_id", "total_reviews", F.col("processed_at").isNotNull().alias("stamped")
     )
+
+
+@query("""SELECT lang, count(*) AS n, 2::BIGINT AS n_rejected, count(*) AS in_footers, count(*) AS in_tops, count(*) AS rows_of_csv
+FROM documents GROUP BY lang""")
+def labelled_files(spark, sf):
+    """Files with their counts in footers and top lines, next to what is read back from a folder with two damaged files."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    folder, tops = work_dir(spark, "labelled"), work_dir(spark, "tops")
+    labelled.write_labelled(rows, f"{folder}/good", "lang")
+    labelled.write_labelled(rows, tops, "lang", kind="csv")
+    # Two files of plain text among the Parquet files.
+    for i in range(2):
+        rows.filter(F.col("doc_id") == i).select(F.col("lang").alias("value")).coalesce(1).write.text(f"{folder}/bad{i}")
+
+    read, rejects = damaged.read_undamaged(spark, folder, rows.schema)
+    n = counts_by(read, "lang").withColumn("n_rejected", rejects.agg(F.count(F.lit(1))).scalar())
+
+    def told(path, kind, name):
+        pairs = labelled.read_labels(spark, path, kind).select(F.col("labels")["lang"].alias("lang"), F.col("labels")["total_reviews"].cast("long").alias("n"))
+        return pairs.groupBy("lang").agg(F.sum("n").alias(name))
+
+    back = counts_by(sinks.read_csv(spark, tops, "doc_id long, lang string, text string"), "lang", name="rows_of_csv")
+    return n.join(told(f"{folder}/good", "parquet", "in_footers"), "lang").join(told(tops, "csv", "in_tops"), "lang").join(back, "lang")

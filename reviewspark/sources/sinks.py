@@ -31,7 +31,7 @@ def write_products(df: DataFrame, path: str, app_id: str = "app_id", mode: str =
     )
 
 
-def _lists_as_json(df: DataFrame) -> DataFrame:
+def lists_as_json(df: DataFrame) -> DataFrame:
     lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     return df.withColumns({n: F.to_json(n) for n in lists})
 
@@ -43,7 +43,7 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "ov
     backslash escapes.
     """
     (
-        _lists_as_json(df)
+        lists_as_json(df)
         .write.mode(mode)
         .option("header", True)
         .option("maxRecordsPerFile", ROWS_PER_CSV)
