@@ -9,7 +9,7 @@ from reviewspark.catalogue.registry import query
 from reviewspark.functions.arrays import field_of_each
 from reviewspark.operators.aggregate import counts_by
 from reviewspark.runtime import work_dir
-from reviewspark.sources import damaged, labelled, raw_json, sinks
+from reviewspark.sources import damaged, labelled, long_json, raw_json, sinks
 from reviewspark.sources import reviews as inputs
 
 # Reviews per nested document, like the pages a collector stores.
@@ -272,3 +272,26 @@ def labelled_files(spark, sf):
 
     back = counts_by(sinks.read_csv(spark, tops, "doc_id long, lang string, text string"), "lang", name="rows_of_csv")
     return n.join(told(f"{folder}/good", "parquet", "in_footers"), "lang").join(told(tops, "csv", "in_tops"), "lang").join(back, "lang")
+
+
+@query(f"""WITH {_RAW_SQL}
+SELECT app_id::BIGINT AS app_id, count(*) AS review_count, count(DISTINCT review_id) AS authors, sum(votes_up)::BIGINT AS votes,
+  max(length(review))::INT AS longest, (SELECT count(DISTINCT (app_id, page)) FROM good g WHERE g.app_id = good.app_id) AS pages
+FROM good GROUP BY app_id""")
+def long_documents(spark, sf):
+    """Nested files read as streams and cut at their reviews: what every product holds, and its documents."""
+    folder = work_dir(spark, "nested")
+    whole = _raw(spark, sf).filter("value not like '<%'")
+    # An attribute that the flat table does not know.
+    value = F.regexp_replace("value", '"data":[{]', '"data":{"page_note":"new",')
+    whole.select("app_id", value.alias("value")).write.partitionBy("app_id").text(folder)
+    scanned = long_json.scan(spark, folder)
+    flat = raw_json.flatten(long_json.products(scanned))
+    counts = flat.groupBy(F.col("steam_appid").alias("app_id")).agg(
+        F.count(F.lit(1)).alias("review_count"), F.count_distinct("author_steamid").alias("authors"),
+        F.sum("votes_up").alias("votes"), F.max(F.length("review")).alias("longest"))
+    kept = long_json.extra_attributes(scanned).filter("attribute = 'page_note' and value = 'new'")
+    # Products that report a failure keep their attributes, but have no reviews in the table.
+    good = scanned.filter("kind = 'head' and text like '%\"success\":true%'").select(F.col("key").cast("bigint").alias("app_id"))
+    pages = counts_by(good, "app_id", name="pages").join(kept.select("app_id").distinct(), "app_id", "left_semi")
+    return counts.join(pages, "app_id")

@@ -22,13 +22,13 @@ def _parsed(texts: DataFrame, column: str) -> DataFrame:
 
 def rejects(texts: DataFrame, column: str = "value") -> DataFrame:
     """Texts that are no document, or whose products report a failure or carry no data."""
-    usable = F.exists(F.map_values("_doc"), _usable)
+    some = F.exists(F.map_values("_doc"), usable)
     return (
         _parsed(texts, column)
         .withColumn(
             "reason",
             F.when(F.col("_doc").isNull(), "not a document").when(
-                ~F.coalesce(usable, F.lit(False)), "no successful product"
+                ~F.coalesce(some, F.lit(False)), "no successful product"
             ),
         )
         .filter(F.col("reason").isNotNull())
@@ -36,7 +36,8 @@ def rejects(texts: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def _usable(product: Column) -> Column:
+def usable(product: Column) -> Column:
+    """Whether a product reports success and carries data."""
     return F.coalesce(product["success"], F.lit(False)) & product["data"].isNotNull()
 
 
@@ -45,7 +46,7 @@ def products(texts: DataFrame, column: str = "value") -> DataFrame:
     return (
         _parsed(texts, column)
         .select(F.explode("_doc").alias("key", "product"))
-        .filter(_usable(F.col("product")))
+        .filter(usable(F.col("product")))
         .select(F.col("key").try_cast("bigint").alias("app_id"), F.col("product.data").alias("data"))
     )
 
