@@ -179,6 +179,7 @@ def density_topics(
     largest = Window.partitionBy(*by).orderBy(F.desc("n"), "cluster")
     numbers = labelled.groupBy(*by, "cluster").agg(F.sum("mass").alias("n")).withColumn("topic", F.row_number().over(largest) - 1)
     side_ = cut(labelled.join(numbers, [*by, "cluster"]).select(*by, "cell", "topic"))
+    discard(cells, dense, nodes, tree, core, labelled)
     # A cell costs its coordinates, the keys and the row around them.
     topics = broadcast_if_small(side_, F.lit(8 * dims + 64 * len(keys) + 64))
     return placed.join(topics, [*by, "cell"], "left").select(*keys, key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
