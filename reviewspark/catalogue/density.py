@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewspark.catalogue.binding import VECTORS_SQL, vectors
+from reviewspark.catalogue.binding import TOKENS, VECTORS_SQL, documents, vectors
 from reviewspark.catalogue.registry import query
 from reviewspark.operators.density import density_topics as dense_topics
-from reviewspark.operators.density import least_size_by_volume, signed_sums
+from reviewspark.functions.text import tokens
+from reviewspark.operators import keywords
+from reviewspark.operators.density import least_size_by_volume, signed_sums, signed_words
+from reviewspark.runtime import cut
 
 _DIMS = 3
 _SCALE = 1024
@@ -15,16 +18,26 @@ _SCALE = 1024
 _LEVELS = 12
 
 
-def _topics_sql(keys: list[str], side: int, least_density: int, least_size: str) -> str:
+_SUMS = ", ".join(
+    f"list_sum(list_transform(embedding, lambda x, i: floor(x * {_SCALE})"
+    f" * (CASE WHEN bit_count(CAST((i - 1) & {j} AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END)))" for j in range(1, _DIMS + 1))
+_VECTOR_PLACES = VECTORS_SQL + f", places AS (SELECT vec_id, app_id, [{_SUMS}] AS spot FROM vectors)"
+_SIGNED = ", ".join(f"sum(CASE WHEN substr(md5(term), {j}, 1) < '8' THEN tf ELSE -tf END)" for j in range(1, _DIMS + 1))
+_TEXT_PLACES = f"""terms AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format("coalesce(text, '')")}) AS term FROM documents) GROUP BY ALL),
+summed AS (SELECT doc_id, [{_SIGNED}] AS s, sqrt(sum(tf * tf)) AS len FROM terms GROUP BY doc_id),
+places AS (
+  SELECT doc_id AS vec_id, coalesce(list_transform(s, lambda x: floor(x * 1000 / len)), [0, 0, 0]) AS spot
+  FROM documents LEFT JOIN summed USING (doc_id))"""
+
+
+def _topics_sql(keys: list[str], side: int, least_density: int, least_size: str, places: str = _VECTOR_PLACES) -> str:
     """The tree of dense cells, unrolled level by level."""
     k = "".join(f"{x}, " for x in keys)
     same = lambda a, b: "".join(f" AND {a}.{x} IS NOT DISTINCT FROM {b}.{x}" for x in keys)
-    sums = ", ".join(
-        f"list_sum(list_transform(embedding, lambda x, i: floor(x * {_SCALE})"
-        f" * (CASE WHEN bit_count(CAST((i - 1) & {j} AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END)))" for j in range(1, _DIMS + 1))
     near = lambda a, b: " AND ".join(f"abs({a}.cell[{i}] - {b}.cell[{i}]) <= 1" for i in range(1, _DIMS + 1))
-    sql = VECTORS_SQL + f""", placed AS (
-  SELECT vec_id, app_id, list_transform([{sums}], lambda x: CAST(floor(x / {side}) AS BIGINT)) AS cell FROM vectors),
+    sql = places + f""", placed AS (
+  SELECT vec_id, {k}list_transform(spot, lambda x: CAST(floor(x / {side}) AS BIGINT)) AS cell FROM places),
 cells AS (SELECT {k}cell, count(*) AS mass FROM placed GROUP BY ALL),
 sized AS (SELECT {k}sum(mass) AS n, {least_size} AS least FROM cells GROUP BY ALL),
 density AS (
@@ -103,3 +116,36 @@ def density_topics_per_product(spark, sf):
     points = vectors(spark, sf).select("app_id", "vec_id", signed_sums(F.col("embedding"), _DIMS, _SCALE).alias("at"))
     least = least_size_by_volume(large=30, of_large=10, of_others=4)
     return dense_topics(points, "vec_id", "at", ["app_id"], _DIMS, 700, 4, least)
+
+
+_TEXT_TOPICS = "WITH RECURSIVE " + _topics_sql([], 350, 16, "20", _TEXT_PLACES)
+
+
+def _text_topics(spark, sf):
+    words = tokens(F.coalesce("text", F.lit("")))
+    points = documents(spark, sf).select("doc_id", signed_words(words, _DIMS).alias("at"))
+    return dense_topics(points, "doc_id", "at", [], _DIMS, 350, 16, F.lit(20))
+
+
+@query(f"SELECT vec_id AS doc_id, topic FROM ({_TEXT_TOPICS})")
+def density_topics_of_texts(spark, sf):
+    """Topics of all texts by the words they use, of 20 or more; the others are outliers."""
+    return _text_topics(spark, sf)
+
+
+@query(f"""WITH topics AS (SELECT vec_id AS doc_id, topic FROM ({_TEXT_TOPICS})),
+w AS (SELECT topic, unnest({TOKENS.format("text")}) AS term FROM documents JOIN topics USING (doc_id) WHERE text IS NOT NULL),
+tf AS (SELECT topic, term, count(*) AS tf FROM w GROUP BY ALL),
+size AS (SELECT topic, sum(tf) AS words FROM tf GROUP BY 1),
+uses AS (SELECT term, sum(tf) AS uses FROM tf GROUP BY 1),
+weights AS (
+  SELECT topic, term, round(tf / words * ln(1 + (SELECT avg(words) FROM size) / uses), 9) AS weight
+  FROM tf JOIN size USING (topic) JOIN uses USING (term)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM weights)
+SELECT topic, term, round(weight, 6) AS weight, rank FROM ranked WHERE rank <= 5""")
+def density_topic_words(spark, sf):
+    """The five words that stand for each topic of the texts, and for the outliers."""
+    topics = cut(_text_topics(spark, sf))
+    docs = documents(spark, sf).select("doc_id", "text").join(topics, "doc_id")
+    top = keywords.top_terms(keywords.class_tfidf_weights(docs, "topic", "text"), ["topic"], 5)
+    return top.select("topic", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))

@@ -14,6 +14,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewspark.functions.arrays import count_terms, with_value
+from reviewspark.functions.vectors import term_norm
 from reviewspark.operators.components import components
 from reviewspark.runtime import broadcast_if_small, cut, discard
 
@@ -36,6 +38,27 @@ def signed_sums(vector: Column, dims: int, scale: int = 1024) -> Column:
     return F.when(finite, F.array(*[total(j) for j in range(1, dims + 1)]))
 
 
+def signed_words(words: Column, dims: int, scale: int = 1000) -> Column:
+    """`dims` whole numbers that keep a text's place among its words: uses summed under each word's signs.
+
+    The signs are the first hexadecimal digits of the word's md5, 8 and above counting as
+    minus, and the sums are scaled to texts of length 1. A text without words has zeros, null
+    stays null. Up to 32 numbers.
+    """
+
+    def place(terms: Column) -> Column:
+        signed = F.transform(terms, lambda t: F.struct(F.md5(t["term"]).alias("h"), t["tf"].alias("tf")))
+
+        def total(signed: Column, j: int) -> Column:
+            add = lambda acc, t: acc + F.when(F.substring(t["h"], j + 1, 1) < "8", t["tf"]).otherwise(-t["tf"])
+            return F.aggregate(signed, F.lit(0), add)
+
+        sums = with_value(signed, lambda x: F.array(*[total(x, j) for j in range(dims)]))
+        return with_value(term_norm(terms), lambda n: F.transform(sums, lambda x: F.when(n > 0, F.floor(x * scale / n)).otherwise(F.lit(0))))
+
+    return F.when(words.isNotNull(), with_value(count_terms(words), place))
+
+
 def cell_of(coordinates: Column, side: int) -> Column:
     """The lattice cell of a point: its coordinates in units of `side`, rounded down."""
     return F.transform(coordinates, lambda x: F.floor(x / side))
