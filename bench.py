@@ -47,6 +47,10 @@ HEADLINE = [
     "class_tfidf_terms",
     "seeded_kmeans",
     "seeded_text_kmeans",
+    "guided_text_topics",
+    "density_topics",
+    "windowed_event_counts",
+    "sketched_days",
     "extractive_summary_by_theme",
     "incremental_theme_counts",
     "incremental_centroids",
@@ -58,22 +62,35 @@ HEADLINE = [
 LARGE_REVIEWS = 300_000
 
 
-def large_report(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """The theme report over at least LARGE_REVIEWS reviews: seconds and reviews a second."""
+def large_cases(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, float]]:
+    """The theme report over at least LARGE_REVIEWS reviews, and summaries of a fifth of them: seconds and reviews a second."""
     from reviewspark.catalogue.binding import english_reviews, themes
-    from reviewspark.plans.report import theme_report
+    from reviewspark.operators.summaries import hierarchical_summary
+    from reviewspark.operators.themes import assign_by_text
+    from reviewspark.plans.report import KEYS, theme_report
 
     few = english_reviews(spark, sf_dir)
     n = few.count()
     copies = -(-LARGE_REVIEWS // max(1, n))
-    path = f"{tempfile.mkdtemp(prefix='reviewspark-bench-')}/reviews"
+    folder = tempfile.mkdtemp(prefix="reviewspark-bench-")
     many = few.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    many.withColumn("review_id", F.col("review_id") * copies + F.col("copy")).drop("copy").write.parquet(path)
-    start = time.perf_counter()
-    theme_report(spark.read.parquet(path), themes(spark)).write.format("noop").mode("overwrite").save()
-    took = time.perf_counter() - start
-    shutil.rmtree(os.path.dirname(path), ignore_errors=True)
-    return {"reviews": n * copies, "seconds": round(took, 3), "reviews_per_second": round(n * copies / took, 1)}
+    many.withColumn("review_id", F.col("review_id") * copies + F.col("copy")).drop("copy").write.parquet(f"{folder}/reviews")
+    reviews = spark.read.parquet(f"{folder}/reviews")
+    some = assign_by_text(reviews.filter(F.col("review_id") % 5 == 0), themes(spark))
+    some.select("review_id", *KEYS, "voted_up", "review").write.parquet(f"{folder}/assigned")
+    assigned = spark.read.parquet(f"{folder}/assigned")
+    cases = {
+        "large_theme_report": (n * copies, lambda: theme_report(reviews, themes(spark))),
+        "large_summaries": (assigned.count(), lambda: hierarchical_summary(assigned, [*KEYS, "voted_up"], "review_id", "review", 50)),
+    }
+    found = {}
+    for name, (rows, make) in cases.items():
+        start = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - start
+        found[name] = {"reviews": rows, "seconds": round(took, 3), "reviews_per_second": round(rows / took, 1)}
+    shutil.rmtree(folder, ignore_errors=True)
+    return found
 
 
 def main(names: list[str]) -> None:
@@ -104,7 +121,7 @@ def main(names: list[str]) -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
-    large = {} if names else {"large_theme_report": large_report(spark, sf_dir)}
+    large = {} if names else large_cases(spark, sf_dir)
     print(
         json.dumps(
             large
