@@ -132,7 +132,12 @@ def benchmark_hits(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without those that hold a benchmark item; columns and other rows unchanged."""
+    """`docs` without those that hold a benchmark item; columns and other rows unchanged.
+
+    Null and empty texts hold none and stay, also with a null id. Rows equal in id and text go
+    or stay together; of rows that share an id only, those whose text holds an item go. An
+    empty `docs` or `benchmark` leaves `docs` as it is.
+    """
     rid, rkey = fresh(docs, "_rid", "_rkey")
     found = benchmark_hits(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(rid), F.col("_key").alias(rkey))
     found = broadcast_if_small(stored(found.distinct(), "contaminated"), F.lit(32))

@@ -55,10 +55,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, lines_col: str = "n_lines",
+    removed_col: str = "n_removed",
+) -> DataFrame:
     """`docs` with later occurrences of repeated line windows taken out of the text.
 
-    Adds n_lines and n_removed and replaces the text column. Every line that lies in a
+    Adds n_lines and n_removed (or what `lines_col` and `removed_col` say) and replaces the text column. Every line that lies in a
     window which occurred before (in an earlier document or further up) goes; windows that
     overlap remove their lines once. Lines are parted by line feeds, and an empty line is
     a line. Texts of fewer lines than a window, empty ones and nulls stay as they are (null
@@ -80,9 +83,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(
         with_value(F.struct(covered.alias("gone"), lines.alias("lines")), cut))
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (lines_col, removed_col)]
     return joined.select(
         *kept,
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col(starts).isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_removed"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(lines_col),
+        F.when(F.col(starts).isNull(), 0).otherwise(F.size(covered)).cast("long").alias(removed_col),
     )

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from reviewspark.llm.common import fresh, same, stored, text_key, word_blocks
 from reviewspark.llm.components import components
@@ -241,6 +242,10 @@ def simhash_components(
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component: the smallest id (a null id only where there is
     no other), of rows that share it the one with the smallest text key; columns unchanged.
+
+    Rows equal in id and text but not in other columns are one document: the row with the
+    smallest hash of its columns (but for maps) stays, whatever the order of rows. Null and
+    empty texts are a component of their own. An empty table stays empty.
     """
     found = stored(simhash_components(docs, id_col, text_col, with_key=True), "groups")
     row = F.struct("doc_id", "_key")
@@ -251,4 +256,11 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = docs.join(
         kept, same(F.col(id_col).cast("long"), F.col(rid)) & same(text_key(text_col), F.col(rkey)), "left_semi")
     repeated = found.groupBy("doc_id", "_key").count().filter("count > 1").limit(1).count() > 0
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    if not repeated:
+        return out
+    id_, key, hash_, least = fresh(docs, "_id", "_key", "_h", "_least")
+    hashed = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
+    out = out.withColumns({id_: F.col(id_col), key: text_key(text_col), hash_: hashed})
+    first = out.groupBy(id_, key).agg(F.min(hash_).alias(least)).withColumnsRenamed({id_: rid, key: rkey})
+    chosen = same(F.col(id_), F.col(rid)) & same(F.col(key), F.col(rkey)) & (F.col(hash_) == F.col(least))
+    return out.join(first, chosen, "left_semi").dropDuplicates([id_, key]).select(*docs.columns)

@@ -294,3 +294,15 @@ def test_the_two_line_hashes_are_independent(spark):
     assert r.x == xxhash.xxh64_intdigest(b"some line", 42) - (1 << 64) * (xxhash.xxh64_intdigest(b"some line", 42) >> 63)
     again = xxhash.xxh64_intdigest(b"some line", r.seed % 2**64)
     assert r.y == again - (1 << 64) * (again >> 63)
+
+
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "same text here", "b"), (1, "same text here", "a"), (1, "same text here", "a"), (2, "same text here", "c"), (None, None, "d"), (None, None, "e")]
+    kept = set()
+    for shuffle in range(4):
+        mixed = random.Random(shuffle).sample(rows, len(rows))
+        df = spark.createDataFrame(mixed, "doc_id long, text string, source string").repartition(shuffle + 1)
+        kept.add(frozenset(map(tuple, keep_one_each(df).collect())))
+    assert len(kept) == 1
+    (one,) = kept
+    assert sorted((i or 0) for i, _, _ in one) == [0, 1]

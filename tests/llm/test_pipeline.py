@@ -47,3 +47,21 @@ def test_stages_take_odd_rows(spark, odd, tiny):
     for name, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, tiny), f"none-{name}")
         assert empty.count() == 0
+
+
+def test_stages_pass_other_columns_through(spark, odd, tiny):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, docs, tiny), f"clash-{name}")
+        assert after.columns == odd.columns and after.dtypes == odd.dtypes
+        # What is left of a row keeps its other columns.
+        others = [c for c in odd.columns if c not in ("text", "n_chars")]
+        left = {tuple(r) for r in after.select(*others).collect()}
+        assert left and left <= {tuple(r) for r in odd.select(*others).collect()}
+        docs = after
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, tiny)
+    assert {"ids", "ids_", "n_tokens", "n_tokens_", "lang", "n_lines"} <= set(last.columns) and last.count() == docs.count()
+    few = odd.select("doc_id", "text", "lang")
+    for name, stage in corpus_pipeline.STAGES:
+        few = stored(stage(spark, few, tiny), f"few-{name}")
+        assert few.count() > 0
