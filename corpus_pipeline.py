@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import stored, table
+from reviewspark.llm.common import fresh, stored, table
 from reviewspark.llm.decontaminate import drop_contaminated
 from reviewspark.llm.language_cnn import fit_languages, keep_known
 from reviewspark.llm.line_dedup import dedup_lines
@@ -18,31 +18,54 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows; it learns from a bounded sample of tagged ones."""
+    """Documents in a language the network knows; it learns from a bounded sample of tagged ones.
+
+    Texts without a letter go, and those whose best language has a chance under 0.3, which
+    is the operator's default and not fitted to any corpus.
+    """
     return keep_known(docs, fit_languages(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines seen before; a document that loses all its lines goes."""
-    done = dedup_lines(docs)
-    return done.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).withColumn(
-        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    """Texts without lines seen before; a document that loses all its lines goes.
+
+    A text that loses lines gets its new length in `n_chars`, where there is such a column.
+    All other columns, whatever their names, stay as they are, and so do null and empty texts.
+    """
+    lines, removed = fresh(docs, "n_lines", "n_removed")
+    done = dedup_lines(docs, lines_col=lines, removed_col=removed)
+    done = done.filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col(removed) > 0, length).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints: the one with the smallest id."""
+    """One document of each group of near fingerprints: the one with the smallest id.
+
+    Null and empty texts share the fingerprint zero and are a group.
+    """
     return keep_one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as piece ids, which decode to its text."""
-    return encode_texts(docs, PieceModel.load(), keep=["lang", "source", "n_chars"])
+    """Every document as piece ids, which decode to its text; all columns but the text stay.
+
+    A column that is called like one of the new ones gets an underscore at its end. A null
+    text has null ids, an empty one none.
+    """
+    new = ["ids", "n_tokens", "n_bytes", "round_trip"]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    taken = docs.select("doc_id", *others)
+    clash = {c: fresh(taken, c)[0] for c in others if c.lower() in new}
+    named = docs.withColumnsRenamed(clash)
+    return encode_texts(named, PieceModel.load(), keep=[clash.get(c, c) for c in others])
 
 
 STAGES: list[tuple[str, Stage]] = [
