@@ -40,7 +40,16 @@ def hashed_vectors(
     """Word counts in `n_features` hash buckets, scaled to length 1: `buckets` of (term, weight)."""
     words = without(tokens(F.coalesce(F.col(text), F.lit(""))), stop_words)
     bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % n_features
-    counted = df.withColumn("_counts", count_terms(F.transform(words, bucket)))
+    # Words are counted first, so that each is hashed once; few texts have two in one bucket.
+    hashed = F.transform(count_terms(words), lambda t: F.struct(bucket(t["term"]).alias("term"), t["tf"].alias("tf")))
+    uses = lambda h, b: F.aggregate(F.filter(h, lambda x: x["term"] == b), F.lit(0), lambda n, x: n + x["tf"])
+
+    def merged(h: Column) -> Column:
+        found = F.array_distinct(h["term"])
+        summed = F.transform(F.sort_array(found), lambda b: F.struct(b.alias("term"), uses(h, b).alias("tf")))
+        return F.when(F.size(found) == F.size(h), F.sort_array(h)).otherwise(summed)
+
+    counted = df.withColumn("_counts", with_value(hashed, merged))
     return unit_weights(counted, "_counts", "buckets").drop("_counts")
 
 

@@ -1,5 +1,6 @@
 """Operators against brute force on small data, among it one group that holds most rows."""
 
+import hashlib
 import math
 import random
 import sys
@@ -203,6 +204,17 @@ def test_assignment_against_plain_cosines(spark):
     assert themes.assign_by_text(frame.filter("false"), seeds).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [3, 1 << 18])
+def test_hashed_vectors(spark, buckets):
+    texts = ["one two two three four five six one one", "", None, "alone", " ".join(f"word{i % 40}" for i in range(90))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in themes.hashed_vectors(df, "t", buckets, ["five"]).collect():
+        words = [w for w in (texts[r.i] or "").split() if w != "five"]
+        n = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % buckets for w in words)
+        length = math.sqrt(sum(x * x for x in n.values()))
+        assert [(b.term, round(b.weight, 9)) for b in r.buckets] == [(b, round(n[b] / length, 9)) for b in sorted(n)]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 @pytest.mark.parametrize("keys", [[], ["app_id"]])
 def test_batches_equal_expressions(spark, metric, keys):
