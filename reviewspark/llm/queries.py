@@ -59,18 +59,18 @@ def op1_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH rules AS (SELECT * FROM (VALUES {_RULES_SQL}) r(word, rule, name, start)),
-rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+rest AS (SELECT row_number() OVER () AS row_no, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (
-  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT row_no, page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 named AS (SELECT *, host || regexp_replace(path, '/+$', '') AS name_ FROM parts),
 lists AS (SELECT DISTINCT name_ FROM named JOIN labels ON labels.doc_id = page_id WHERE toxic = 1 AND name_ <> ''),
 fits AS (
-  SELECT n.page_id, any_value(n.host) AS host, any_value(n.path) AS path, any_value(n.name_) AS name_,
+  SELECT any_value(n.page_id) AS page_id, any_value(n.host) AS host, any_value(n.path) AS path, any_value(n.name_) AS name_,
          arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.word, length(r.rule)) AS word
   FROM named n LEFT JOIN rules r
     ON (n.host = r.name OR ends_with(n.host, '.' || r.name)) AND starts_with(n.path, r.start)
-  GROUP BY n.page_id)
+  GROUP BY n.row_no)
 SELECT page_id, host, path, rule,
        coalesce(word, CASE WHEN l.name_ IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        rule IS NULL AND l.name_ IS NOT NULL AS listed

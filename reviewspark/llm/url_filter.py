@@ -60,6 +60,9 @@ def _probe(key: Column, blocks: int) -> tuple[Column, Column]:
                                               F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int")))
     return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)), mask
 
+# Numbers of blocks that do not exist, among which pages without a look-up are spread.
+SPREAD = 4096
+
 
 def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     """The filter as a table (_block, _word): every listed key sets its bits in one word."""
@@ -96,7 +99,9 @@ def filter_urls(
     base = base.select("*", rule.alias("rule"), verdict.alias("_said"), canonical(F.col("host"), F.col("path")).alias("_name"))
     block, mask = _probe(F.col("_name"), blocks)
     open_ = F.col("rule").isNull() & (F.col("_name") != "")
-    base = base.select("*", F.when(open_, block).alias("_block"), mask.alias("_mask"))
+    # Pages that a rule decides meet no word; numbers of their own spread them where the join shuffles.
+    none = F.lit(-1) - F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SPREAD)).cast("int")
+    base = base.select("*", F.when(open_, block).otherwise(none).alias("_block"), mask.alias("_mask"))
     small = broadcast_if_small(words, F.lit(24))
     tried = base.join(small, "_block", "left").withColumn(
         "_hit", F.coalesce(F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)))

@@ -135,3 +135,14 @@ def test_large_components_stay_exact():
     c = np.array([[2**30, 2**30], [5, 4]], np.int64)
     found = block_topk(q, np.array([9]), c, np.array([1, 2]), 1, {}, np.array([0]))
     assert found == [(9, 0, 1, 2**60 + 15)]
+
+
+def test_urls_where_the_filter_outgrows_a_broadcast(spark, monkeypatch):
+    from reviewspark.llm import url_filter
+
+    urls = [f"http://{h}/{p}" for h in ("a.com", "b.net", "c.org") for p in ("", "es/1", "fr/2", "x")] + [None, "", "http://c.org/x"]
+    pages = spark.createDataFrame([(i if i % 3 else None, u) for i, u in enumerate(urls * 3)], "page_id long, url string")
+    listed = spark.createDataFrame([("http://c.org/x",), ("http://b.net/x",)], "url string")
+    want = sorted(map(repr, filter_urls(pages, listed, URL_RULES).collect()))
+    monkeypatch.setattr(url_filter, "broadcast_if_small", lambda df, size: df)
+    assert sorted(map(repr, filter_urls(pages, listed, URL_RULES).collect())) == want and len(want) == len(urls) * 3
