@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewspark.llm.language_cnn import BATCH, ByteNetwork, byte_windows, fit_languages, identify_languages, keep_known, predict
+from reviewspark.llm.language_cnn import (
+    BATCH, WIDTHS, WINDOW, ByteNetwork, byte_windows, fit_languages, identify_languages, keep_known, predict,
+)
 from reviewspark.llm.license_scan import PHRASES, TEMPLATES, LicenceScanner, TokenAutomaton, scan_licences
 from reviewspark.llm.pieces import PieceModel, decode_ids, encode_texts
 from reviewspark.llm.queries import QUERIES
@@ -236,3 +238,31 @@ def test_toxicity_odd_rows(odd, none, spark):
     assert fit_toxicity(odd, labels.filter("false")) is None and fit_toxicity(none, labels) is None
     assert {r.score for r in score_toxicity(odd, None).collect()} == {0.0}
     assert score_toxicity(none, model).count() == 0
+
+
+def test_forward_pass_byte_by_byte():
+    rng = np.random.default_rng(9)
+    net = ByteNetwork.fresh(["de", "en", "fr"])
+    net.params = [rng.normal(size=p.shape) for p in net.params]
+    texts = ["Ein Satz mit Umlauten: äöü. " * 9, "short", "é", "", None, "12 34", "x" * 193]
+
+    def window(data):
+        data = data + bytes(WINDOW - len(data))
+        seen = [net.params[0][b] for b in data]
+        hidden = []
+        for i, w in enumerate(WIDTHS):
+            weight, bias = net.params[1 + 2 * i : 3 + 2 * i]
+            for f in range(weight.shape[1]):
+                answers = [float(np.concatenate(seen[at : at + w]) @ weight[:, f]) for at in range(WINDOW - w + 1)]
+                hidden.append(max(max(answers) + bias[f], 0.0))
+        e = np.exp(np.array(hidden) @ net.params[-2] + net.params[-1])
+        return e / e.sum()
+
+    for text, (lang, score) in zip(texts, predict(net, texts)):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        data = text.encode()
+        parts = [data[at : at + WINDOW] for at in range(0, len(data), WINDOW)]
+        mean = sum(window(p) * len(p) for p in parts) / len(data)
+        assert lang == net.languages[int(mean.argmax())] and abs(score - mean.max()) < 1e-9
