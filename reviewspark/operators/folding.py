@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewspark.operators.ranking import chunk_numbers
 
@@ -63,11 +64,10 @@ def fold_groups(
         raise ValueError("a fold needs keys")
     key_kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     partial = f"{key_kinds}, _part int, _state binary"
-    key_types = None
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, Any] = {}
-        sent, task, types = 0, TaskContext.get().partitionId(), key_types
+        sent, task, types = 0, TaskContext.get().partitionId(), []
 
         def out() -> pa.RecordBatch:
             columns = [pa.array([k[i] for k in found], types[i]) for i in range(len(keys))]
@@ -97,12 +97,9 @@ def fold_groups(
         return table.slice(0, 1).set_column(table.schema.get_field_index("_state"), "_state", pa.array([pickle.dumps(joined(table))], pa.binary()))
 
     out_types = df.sparkSession.createDataFrame([], schema).schema
-    names = out_types.fieldNames()
+    names, arrow = out_types.fieldNames(), [to_arrow_type(f.dataType) for f in out_types]
     if set(names) & set(keys):
         raise ValueError("a result column has the name of a key")
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = [to_arrow_type(f.dataType) for f in out_types]
 
     def last(table: pa.Table) -> pa.Table:
         told = fold.finish(joined(table))
