@@ -11,7 +11,7 @@ from reviewspark.catalogue.binding import (
     english_reviews, reviews, table, themes, vectors, voted_reviews,
 )
 from reviewspark.catalogue.registry import query
-from reviewspark.operators import aggregate, ranking
+from reviewspark.operators import aggregate
 from reviewspark.functions.text import tokens
 from reviewspark.operators.folding import TopValues, fold_groups, with_themes
 from reviewspark.operators.themes import (

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewspark.functions.numbers import adaptive_chunk
-from reviewspark.functions.arrays import with_value
 from reviewspark.functions.text import SPACE, preview, tokens, without
 from reviewspark.operators.joins import join_groups
 from reviewspark.operators.ranking import chunk_numbers
