@@ -59,7 +59,11 @@ def distinct_count() -> Column:
 
 
 def frequent_items(k: int) -> Column:
-    """The k most frequent items with their counts, most frequent first."""
+    """The k most frequent items with their counts, most frequent first, as far as the sketch can tell.
+
+    Items whose count is within the sketch's error are left out: of very many items that
+    are all about as frequent none may be left.
+    """
     return F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(k))
 
 

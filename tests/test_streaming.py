@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from reviewspark.catalogue import QUERIES
 from reviewspark.operators import sketches
 from reviewspark.runtime import work_dir
 from reviewspark.streaming import windows
@@ -102,3 +103,14 @@ def test_sketches_merge_and_stay_within_their_bounds(spark):
     none = sketches.sketches(df.filter("x is null"), ["app"], "x", "item").select("app", sketches.quantile(0.5).alias("q"), "n")
     assert all(r.q is None and r.n > 0 for r in none.collect())
     assert sketches.sketches(df.filter("false"), ["app"], "x", "item").count() == 0
+
+
+def test_most_frequent_users_among_very_many_alike(spark, tmp_path):
+    """More users than a sketch tracks, none of them much more frequent than the others."""
+    rows = spark.range(90_000).select(
+        F.lit("view").alias("event_type"), (F.col("id") % 40_000).alias("user_id"),
+        F.col("id").cast("double").alias("value"), F.lit("2024-01-05").cast("timestamp").alias("ts"))
+    rows.withColumn("user_id", F.when(F.col("value") < 4, 7).when(F.col("value") > 89_990, None).otherwise(F.col("user_id"))).write.parquet(
+        f"{tmp_path}/events.parquet")
+    found = QUERIES["sketched_days"](spark, str(tmp_path)).collect()
+    assert [(r.n, list(r.top_counts)) for r in found] == [(90_000, [7, 3, 3])]
