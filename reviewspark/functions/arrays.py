@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,28 +89,57 @@ def join_text(c: Column, separator: str = ", ") -> Column:
     return F.array_join(c, separator)
 
 
+# So many elements of a batch are worked on at once: what a task holds does not follow its texts.
+SLICE_ELEMENTS = 500_000
+
+
+def in_slices(lists: pa.ListArray, most: int = SLICE_ELEMENTS) -> Iterator[pa.ListArray]:
+    """A batch of lists in order, in slices of at most `most` elements or of one list."""
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(lists):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lists.slice(start, end - start)
+        start = end
+
+
+def counted_terms(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, term and uses for each row and distinct word, in that order, and the terms in order."""
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    width = max(1, len(order))
+    sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+    owners = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+    pairs, uses = np.unique(owners * width + rank[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    row, term = np.divmod(pairs, width)
+    return row, term, uses, coded.dictionary.take(pa.array(order))
+
+
+def as_lists(row: np.ndarray, rows: int, **fields: pa.Array) -> pa.ListArray:
+    """Entries in the order of their rows as one list of structs a row."""
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=rows)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
 def count_terms(words: Column) -> Column:
-    """array<struct<term, tf>> of a list of words, terms in order.
+    """array<struct<term, tf>> of a list of words, terms in order; a missing list has none.
 
-    Counting happens inside the row (sort, find where each run starts, take the
-    differences), so no shuffle is needed and a long text costs n log n.
+    Words are counted in Arrow batches, a slice at a time, so no shuffle is needed and a long
+    text costs n log n.
     """
 
-    def starts(s: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(s) - 1)
-        return F.when(
-            F.size(s) > 0, F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        ).otherwise(F.array().cast("array<int>"))
-
-    def runs(s: Column, first: Column) -> Column:
-        return F.transform(
-            first,
-            lambda p, i: F.struct(
-                F.get(s, p).alias("term"),
-                (F.coalesce(F.get(first, i + 1), F.size(s)) - p).alias("tf"),
-            ),
-        )
-
-    return with_value(
-        F.sort_array(words), lambda s: with_value(starts(s), lambda first: runs(s, first))
-    )
+    @F.arrow_udf("array<struct<term: string, tf: int>>")
+    def counted(batch: pa.Array) -> pa.Array:
+        done = []
+        for lists in in_slices(batch):
+            row, term, uses, terms = counted_terms(lists)
+            done.append(as_lists(row, len(lists), term=terms.take(pa.array(term)), tf=pa.array(uses, pa.int32())))
+        return pa.concat_arrays(done) if done else pa.nulls(0, _TERMS)
+
+    return counted(words)
+
+
+_TERMS = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))

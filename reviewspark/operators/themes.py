@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.functions.arrays import count_terms, with_value
+from reviewspark.functions.arrays import as_lists, count_terms, counted_terms, in_slices, with_value
 from reviewspark.functions.text import tokens, without
 from reviewspark.functions.vectors import cosine, dot, norm, squared_distance, term_norm
 from reviewspark.operators.aggregate import mean_vector
@@ -39,18 +40,22 @@ def hashed_vectors(
 ) -> DataFrame:
     """Word counts in `n_features` hash buckets, scaled to length 1: `buckets` of (term, weight)."""
     words = without(tokens(F.coalesce(F.col(text), F.lit(""))), stop_words)
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % n_features
-    # Words are counted first, so that each is hashed once; few texts have two in one bucket.
-    hashed = F.transform(count_terms(words), lambda t: F.struct(bucket(t["term"]).alias("term"), t["tf"].alias("tf")))
-    uses = lambda h, b: F.aggregate(F.filter(h, lambda x: x["term"] == b), F.lit(0), lambda n, x: n + x["tf"])
-
-    def merged(h: Column) -> Column:
-        found = F.array_distinct(h["term"])
-        summed = F.transform(F.sort_array(found), lambda b: F.struct(b.alias("term"), uses(h, b).alias("tf")))
-        return F.when(F.size(found) == F.size(h), F.sort_array(h)).otherwise(summed)
-
-    counted = df.withColumn("_counts", with_value(hashed, merged))
-    return unit_weights(counted, "_counts", "buckets").drop("_counts")
+
+    @F.arrow_udf("array<struct<term: bigint, weight: double>>")
+    def hashed(batch: pa.Array) -> pa.Array:
+        done = []
+        for lists in in_slices(batch):
+            # A distinct word of the slice is hashed once; words of a text that meet in a bucket add up.
+            row, term, uses, terms = counted_terms(lists)
+            bucket = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % n_features for w in terms.to_pylist()], np.int64)
+            pairs, at = np.unique(row * n_features + bucket[term], return_inverse=True)
+            tf = np.bincount(at, uses, len(pairs))
+            row, place = np.divmod(pairs, n_features)
+            length = np.sqrt(np.bincount(row, tf * tf, len(lists)))
+            done.append(as_lists(row, len(lists), term=pa.array(place), weight=pa.array(tf / length[row])))
+        return pa.concat_arrays(done) if done else pa.nulls(0, pa.list_(pa.struct([("term", pa.int64()), ("weight", pa.float64())])))
+
+    return df.withColumn("buckets", hashed(words))
 
 
 def unit_weights(df: DataFrame, terms: str, out: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,12 @@ def test_cosine_of_zero_vector(spark):
 ])
 def test_printed_lists(spark, cell, want):
     assert apply(spark, arrays.list_cell, [cell]) == [want]
+
+
+def test_lists_in_slices():
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c", "d"], ["e"] * 3], pa.list_(pa.string()))
+    for whole in (lists, lists.slice(1, 4)):
+        cut_up = list(arrays.in_slices(whole, 4))
+        assert [x for part in cut_up for x in part.to_pylist()] == whole.to_pylist()
+        assert all(len(part) == 1 or len(part.flatten()) <= 4 for part in cut_up)
+    assert list(arrays.in_slices(lists.slice(0, 0), 4)) == []

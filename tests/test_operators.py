@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -215,6 +216,18 @@ def test_hashed_vectors(spark, buckets):
         assert [(b.term, round(b.weight, 9)) for b in r.buckets] == [(b, round(n[b] / length, 9)) for b in sorted(n)]
 
 
+def test_hashed_vectors_of_a_long_text(spark):
+    """Very many distinct words that meet in buckets cost no more for each of them."""
+    words, buckets = [f"word{i}" for i in range(150_000)], 1 << 15
+    df = spark.createDataFrame([(" ".join(words),)], "t string")
+    start = time.perf_counter()
+    found = themes.hashed_vectors(df, "t", buckets).first().buckets
+    assert time.perf_counter() - start < 15
+    n = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % buckets for w in words)
+    length = math.sqrt(sum(x * x for x in n.values()))
+    assert [(b.term, round(b.weight, 9)) for b in found] == [(b, round(n[b] / length, 9)) for b in sorted(n)]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 @pytest.mark.parametrize("keys", [[], ["app_id"]])
 def test_batches_equal_expressions(spark, metric, keys):
