@@ -9,13 +9,15 @@ points, so a crowded place costs as much as any other.
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewspark.functions.arrays import count_terms, with_value
-from reviewspark.functions.vectors import term_norm
+from reviewspark.functions.arrays import counted_terms, in_slices
 from reviewspark.operators.components import components
 from reviewspark.runtime import broadcast_if_small, cut, discard
 
@@ -46,17 +48,23 @@ def signed_words(words: Column, dims: int, scale: int = 1000) -> Column:
     stays null. Up to 32 numbers.
     """
 
-    def place(terms: Column) -> Column:
-        signed = F.transform(terms, lambda t: F.struct(F.md5(t["term"]).alias("h"), t["tf"].alias("tf")))
-
-        def total(signed: Column, j: int) -> Column:
-            add = lambda acc, t: acc + F.when(F.substring(t["h"], j + 1, 1) < "8", t["tf"]).otherwise(-t["tf"])
-            return F.aggregate(signed, F.lit(0), add)
-
-        sums = with_value(signed, lambda x: F.array(*[total(x, j) for j in range(dims)]))
-        return with_value(term_norm(terms), lambda n: F.transform(sums, lambda x: F.when(n > 0, F.floor(x * scale / n)).otherwise(F.lit(0))))
-
-    return F.when(words.isNotNull(), with_value(count_terms(words), place))
+    @F.arrow_udf("array<bigint>")
+    def placed(batch: pa.Array) -> pa.Array:
+        done = []
+        for lists in in_slices(batch):
+            row, term, uses, terms = counted_terms(lists)
+            digits = np.array([list(md5(w.encode()).hexdigest()[:dims]) for w in terms.to_pylist()], "U1").reshape(-1, dims)
+            signs = np.where(digits < "8", 1, -1)
+            length = np.sqrt(np.bincount(row, uses * uses, len(lists)))
+            spots = np.zeros((len(lists), dims))
+            for j in range(dims):
+                total = np.bincount(row, uses * signs[term, j], len(lists))
+                spots[:, j] = np.floor(np.divide(total * scale, length, out=np.zeros(len(lists)), where=length > 0))
+            ends = pa.array(np.arange(0, spots.size + 1, dims), pa.int32())
+            done.append(pa.ListArray.from_arrays(ends, pa.array(spots.ravel().astype(np.int64)), mask=lists.is_null()))
+        return pa.concat_arrays(done) if done else pa.nulls(0, pa.list_(pa.int64()))
+
+    return placed(words)
 
 
 def cell_of(coordinates: Column, side: int) -> Column:
@@ -179,7 +187,8 @@ def density_topics(
     # The keys as one value that is never null, which joins would lose.
     by = ["_group"]
     group = F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
-    placed = points.select(key, *keys, group.alias("_group"), at.alias("cell"))
+    # Read twice below; a point is placed once.
+    placed = cut(points.select(key, *keys, group.alias("_group"), at.alias("cell")))
     cells = cut(placed.filter("cell is not null").groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("mass")))
     dense = cut(cell_densities(cells, by, dims))
     sized = cells.groupBy(*by).agg(F.sum("mass").alias("n"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewspark.operators.components import components
-from reviewspark.operators.density import density_topics, least_size_by_volume, signed_sums
+from reviewspark.operators.density import density_topics, least_size_by_volume, signed_sums, signed_words
 
 
 def plain_components(pairs):
@@ -137,3 +137,13 @@ def test_signed_sums(spark):
             assert r.s is None
         else:
             assert r.s == [sum((-1) ** (i & j).bit_count() * math.floor(x * 100) for i, x in enumerate(v)) for j in (1, 2, 3)]
+
+
+def test_points_are_placed_once(spark):
+    """The words of a text are read for its cell, and not a second time for its topic."""
+    docs = spark.createDataFrame([(i, f"left right {i % 3}") for i in range(60)], "id long, t string")
+    points = docs.select("id", signed_words(F.split("t", " "), 3).alias("at"))
+    found = density_topics(points, "id", "at", [], 3, 350, 16, F.lit(20))
+    plan = found._jdf.queryExecution().toString()
+    assert "signed_words" not in plan and "EvalPython" not in plan and "split(" not in plan
+    assert found.count() == 60
