@@ -15,6 +15,11 @@ from reviewspark.operators.ranking import top_rows
 from reviewspark.runtime import broadcast_if_small, cut
 
 
+# What one task counts: characters of texts, and terms of documents.
+TASK_CHARS = 2_000_000
+TASK_TERMS = 1_000_000
+
+
 def terms_of(text: Column, stop_words: Iterable[str] = (), bigrams: bool = False) -> Column:
     words = without(tokens(text), stop_words)
     if not bigrams:
@@ -43,10 +48,15 @@ def tfidf_weights(
     idf = ln((1 + n) / (1 + df)) + 1; each document is scaled to length 1. Words are counted
     inside the row, so a text leaves its task as its distinct terms.
     """
+    # Documents that a join left in few tasks are spread before their words are counted.
+    measured = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    spread = docs.select(group, key, text).repartition(max(1, -(-measured // TASK_CHARS)))
     # Read four times below; as large as the documents' distinct terms.
     counted = count_terms(terms_of(F.col(text), stop_words, bigrams))
-    tf = cut(docs.select(group, key, F.inline_outer(counted)).filter(F.col("term").isNotNull()))
-    kept = tf.groupBy("term").agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
+    tf = cut(spread.select(group, key, F.inline_outer(counted)).filter(F.col("term").isNotNull()))
+    # Most pairs of words are rare, so adding up in the map tasks would hold nearly all of them.
+    by_term = tf.select("term", "tf").repartition(max(1, -(-tf.count() // TASK_TERMS)), "term")
+    kept = by_term.groupBy("term").agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
     if vocabulary is not None:
         kept = kept.orderBy(F.desc("uses"), "term").limit(vocabulary)
     sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
