@@ -90,7 +90,7 @@ def join_text(c: Column, separator: str = ", ") -> Column:
 
 
 # So many elements of a batch are worked on at once: what a task holds does not follow its texts.
-SLICE_ELEMENTS = 500_000
+SLICE_ELEMENTS = 200_000
 
 
 def in_slices(lists: pa.ListArray, most: int = SLICE_ELEMENTS) -> Iterator[pa.ListArray]:

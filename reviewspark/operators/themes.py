@@ -7,7 +7,7 @@ review meets the packed themes of its product in a join that keeps one row per r
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from hashlib import md5
 
@@ -257,6 +257,16 @@ def _as_struct(topic: np.ndarray, similarity: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(topic, pa.int32()), pa.array(similarity, pa.float64())], ["topic_id", "similarity"])
 
 
+def _scored(apps: pa.Array, batch: pa.ListArray, score: Callable) -> pa.StructArray:
+    """Topics of a batch, a slice of its terms at a time."""
+    topic, similarity, at = np.zeros(len(batch), np.int32), np.zeros(len(batch)), 0
+    for lists in in_slices(batch):
+        end = at + len(lists)
+        topic[at:end], similarity[at:end] = score(apps.slice(at, len(lists)), lists)
+        at = end
+    return _as_struct(topic, similarity)
+
+
 def _with_best(df: DataFrame, best: Column, columns: list[str]) -> DataFrame:
     return df.withColumn("_best", best).select(*columns, "_best.topic_id", "_best.similarity")
 
@@ -269,9 +279,9 @@ def assign_by_index(texts: DataFrame, index: TermIndex, terms: Column, metric: s
     shared = texts.sparkSession.sparkContext.broadcast(index)
 
     @F.arrow_udf(_ASSIGNED)
-    def nearest(apps: pa.Array, lists: pa.Array) -> pa.Array:
-        weighted = pa.types.is_struct(lists.type.value_type)
-        return _as_struct(*shared.value.score(apps, Entries.of_weights(lists) if weighted else Entries.of_words(lists), metric))
+    def nearest(apps: pa.Array, batch: pa.Array) -> pa.Array:
+        entries = Entries.of_weights if pa.types.is_struct(batch.type.value_type) else Entries.of_words
+        return _scored(apps, batch, lambda apps, lists: shared.value.score(apps, entries(lists), metric))
 
     return _with_best(texts, nearest(F.col("app_id"), terms), texts.columns)
 
@@ -283,9 +293,10 @@ def assign_terms(reviews: DataFrame, packed: DataFrame, words: Column) -> DataFr
     """
 
     @F.arrow_udf(_ASSIGNED)
-    def nearest(apps: pa.Array, themes: pa.Array, lists: pa.Array) -> pa.Array:
+    def nearest(apps: pa.Array, themes: pa.Array, batch: pa.Array) -> pa.Array:
         seen = pc.unique(apps.filter(themes.is_valid()))
-        return _as_struct(*TermIndex.of(_unpacked(seen, themes.take(pc.index_in(seen, apps)))).score(apps, Entries.of_words(lists)))
+        index = TermIndex.of(_unpacked(seen, themes.take(pc.index_in(seen, apps))))
+        return _scored(apps, batch, lambda apps, lists: index.score(apps, Entries.of_words(lists)))
 
     joined = reviews.join(packed, "app_id", "left")
     return _with_best(joined, nearest(F.col("app_id"), F.col("themes"), words), reviews.columns)

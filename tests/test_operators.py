@@ -8,13 +8,15 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from reviewspark.operators import aggregate, clusters, ranking, resume, sampling, summaries, themes
+from reviewspark.functions import arrays
+from reviewspark.operators import aggregate, clusters, keywords, ranking, resume, sampling, summaries, themes
 from reviewspark.plans import report
-from reviewspark.runtime import broadcast_if_small, fits
+from reviewspark.runtime import broadcast_if_small, cut, fits
 from reviewspark.sources.themes import parse_themes
 
 # The summarisers below are sent to the workers, which cannot import this file.
@@ -407,3 +409,28 @@ def test_best_row_moves_no_text(spark):
     df = spark.range(100).selectExpr("id % 5 AS g", "id", "id * 7 % 11 AS votes", "repeat('x', 50) AS t")
     plan = ranking.best_row(df, ["g"], [F.desc("votes"), F.asc("id")], "id", ["t"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_terms_are_counted_in_many_tasks(spark, monkeypatch):
+    """Texts that lie in one task, as a join may leave them, are spread; so are their terms."""
+    seen = []
+    monkeypatch.setattr(keywords, "TASK_CHARS", 500)
+    monkeypatch.setattr(keywords, "TASK_TERMS", 100)
+    monkeypatch.setattr(keywords, "cut", lambda df: seen.append(df.rdd.getNumPartitions()) or cut(df))
+    docs = spark.createDataFrame([("a", i, f"w{i} x{i % 7} y{i % 5}") for i in range(500)], "topic string, id int, t string").coalesce(1)
+    weights = keywords.tfidf_weights(docs, "topic", "id", "t")
+    assert seen[0] >= 10 and {r.term for r in weights.collect()} >= {"w3", "w3 x3", "x3 y3"}
+
+
+def test_topics_are_found_in_slices(monkeypatch):
+    monkeypatch.setattr(arrays.in_slices, "__defaults__", (5,))
+    lists, sizes = pa.array([["a", "b"], ["c"] * 4, None, ["d"] * 7, ["e"]], pa.list_(pa.string())), []
+    apps = pa.array([3, 4, 5, 6, 7], pa.int32())
+
+    def score(apps, lists):
+        sizes.append(len(lists.flatten()))
+        return np.array(apps), np.array([len(x or []) for x in lists.to_pylist()], float)
+
+    found = themes._scored(apps, lists, score).to_pylist()
+    assert [(r["topic_id"], r["similarity"]) for r in found] == [(3, 2), (4, 4), (5, 0), (6, 7), (7, 1)]
+    assert sum(sizes) == 14 and sorted(sizes)[-2] <= 5
