@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -87,15 +86,20 @@ def summary_column(text: Column, make: Callable[[], Summariser] | None = None, a
         told = leading_sentences(F.coalesce(text, F.lit("")))
         return F.struct(told.alias("summary"), F.lit(None).cast("string").alias("error"))
 
-    @F.pandas_udf("summary string, error string")
-    def summarise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # Texts go to the model one by one, and a batch of them is never held a second time.
+    @F.arrow_udf("summary string, error string")
+    def summarise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
         for batch in batches:
-            yield pd.DataFrame([_try(one, t, attempts) for t in batch], columns=["summary", "error"])
+            told = (_try(one, t.as_py(), attempts) for t in batch)
+            yield pa.array(({"summary": s, "error": e} for s, e in told), _TOLD, size=len(batch))
 
     return summarise(text)
 
 
+_TOLD = pa.struct([("summary", pa.string()), ("error", pa.string())])
+
+
 def _try(one: Summariser, text: str | None, attempts: int) -> tuple[str | None, str | None]:
     error = None
     for _ in range(attempts):
