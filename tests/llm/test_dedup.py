@@ -266,6 +266,17 @@ def test_passages_whose_words_also_stand_elsewhere():
     assert matching_passages(many, hashed(["as"] * 2000 + p))[0][4] == 1
 
 
+def test_repeats_of_a_line_do_not_meet_all_repeats_of_the_other_text():
+    rng = random.Random(16)
+    for line in (["as"], prose(rng, 7)):
+        a = prose(rng, 40) + line * (840 // len(line)) + prose(rng, 40)
+        b = prose(rng, 20) + line * (126 // len(line)) + prose(rng, 60)
+        found = matching_passages(hashed(a), hashed(b))
+        assert 0 < len(found) < 40
+        assert set().union(*(range(i, z) for i, z, *_ in found)) == set(range(40, 880))
+        assert set().union(*(range(c, e) for _, _, c, e, _ in found)) == set(range(20, 146))
+
+
 def test_last_step_links_copies_with_a_block_put_in(spark, monkeypatch):
     rng = random.Random(15)
     docs = {}
