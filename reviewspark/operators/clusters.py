@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.operators.aggregate import mean_vector
 from reviewspark.operators.ranking import top_rows
-from reviewspark.operators.themes import TermIndex, assign_by_index, nearest_vectors
+from reviewspark.operators.themes import TermIndex, assign_by_index, nearest_vectors, sums_by_index
 from reviewspark.runtime import BROADCAST_BYTES, broadcast_if_small, cut, discard, fits
 
 
@@ -90,6 +90,17 @@ def nearest_centres(
     return docs.join(nearest_terms(docs, centres, key, weights), ["app_id", key])
 
 
+def _term_sums(docs: DataFrame, centres: DataFrame, key: str, weights: str, limit: int) -> DataFrame:
+    """(app_id, topic_id, term, total) of the texts nearest to each centre; a null term counts them. Parts are still to be added."""
+    if fits(centres, F.length(F.col("term").cast("string")) + 64, limit):
+        return sums_by_index(docs, TermIndex.of(centres.select("app_id", "topic_id", "term", "weight").toArrow()), weights)
+    own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("total"))
+    entries = F.transform(weights, lambda e: F.struct(e["term"].cast("string").alias("term"), e["weight"].alias("total")))
+    # One entry more counts the text itself.
+    labelled = docs.join(nearest_terms(docs, centres, key, weights), ["app_id", key])
+    return labelled.select("app_id", "topic_id", F.inline(F.concat(entries, F.array(own))))
+
+
 def seeded_text_kmeans(
     docs: DataFrame, seeds: DataFrame, key: str, rounds: int, weights: str = "weights", prior: float = 0.0,
     limit: int = BROADCAST_BYTES,
@@ -98,7 +109,7 @@ def seeded_text_kmeans(
 
     Returns the centres (app_id, topic_id, term, weight) and the labels of the last round.
     A round reads the texts' weights once: each text gets its label where it is read, and
-    only sums per topic and term leave the task.
+    only sums per topic and term leave the task, in Python's batches while the centres fit a broadcast.
     """
     if prior < 0:
         raise ValueError("prior must not be negative")
@@ -107,13 +118,9 @@ def seeded_text_kmeans(
     seeded = seeds.select("app_id").distinct()
     centres = seeds
     for _ in range(rounds):
-        labelled = nearest_centres(docs.select("app_id", key, weights), centres, key, weights, limit)
-        # One entry more counts the text itself.
-        own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("weight"))
-        entries = F.transform(weights, lambda e: F.struct(e["term"].cast("string").alias("term"), e["weight"].alias("weight")))
         sums = cut(
-            labelled.select("app_id", "topic_id", F.inline(F.concat(entries, F.array(own))))
-            .groupBy("app_id", "topic_id", "term").agg(F.sum("weight").alias("total"))
+            _term_sums(docs.select("app_id", key, weights), centres, key, weights, limit)
+            .groupBy("app_id", "topic_id", "term").agg(F.sum("total").alias("total"))
             .join(seeded, "app_id", "left_semi"))
         sized = sums.filter("term is null").select("app_id", "topic_id", F.col("total").alias("n"))
         totals = sums.filter("term is not null")

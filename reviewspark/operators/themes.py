@@ -7,7 +7,7 @@ review meets the packed themes of its product in a join that keeps one row per r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
 
@@ -286,6 +286,43 @@ def assign_by_index(texts: DataFrame, index: TermIndex, terms: Column, metric: s
     return _with_best(texts, nearest(F.col("app_id"), terms), texts.columns)
 
 
+def sums_by_index(texts: DataFrame, index: TermIndex, weights: str, metric: str = "euclidean") -> DataFrame:
+    """(app_id, topic_id, term, total): weights of the texts nearest to a topic, added up by term in each Arrow batch.
+
+    A null term counts the texts. Rows of several batches are still to be added; no entry of a text leaves the task.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, done = 0, []
+            for lists in in_slices(batch.column(1)):
+                apps, at = batch.column(0).slice(at, len(lists)), at + len(lists)
+                done.append(_term_sums(apps, lists, shared.value, metric))
+            if done:
+                added = pa.concat_tables(done).group_by(["app_id", "topic_id", "term"], use_threads=False)
+                yield from added.aggregate([("total", "sum")]).rename_columns(["app_id", "topic_id", "term", "total"]).to_batches()
+
+    kind = texts.schema["app_id"].dataType.simpleString()
+    return texts.select("app_id", weights).mapInArrow(summed, f"app_id {kind}, topic_id int, term string, total double")
+
+
+def _term_sums(apps: pa.Array, lists: pa.ListArray, index: TermIndex, metric: str) -> pa.Table:
+    x = Entries.of_weights(lists)
+    topic, _ = index.score(apps, x, metric)
+    product = apps.dictionary_encode()
+    codes = product.indices.fill_null(len(product.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, heads, cell = np.unique(codes * (np.int64(topic.max()) + 1) + topic, return_index=True, return_inverse=True)
+    width = max(1, len(x.terms))
+    pairs, where = np.unique(cell[x.row] * width + x.term, return_inverse=True)
+    of, term = np.divmod(pairs, width)
+    at = np.append(heads[of], heads)
+    return pa.table({
+        "app_id": apps.take(pa.array(at)), "topic_id": pa.array(topic[at], pa.int32()),
+        "term": pa.concat_arrays([x.terms.cast(pa.string()).take(pa.array(term)), pa.nulls(len(heads), pa.string())]),
+        "total": pa.array(np.append(np.bincount(where, x.weight, len(pairs)), np.bincount(cell, minlength=len(heads))), pa.float64())})
+
+
 def assign_terms(reviews: DataFrame, packed: DataFrame, words: Column) -> DataFrame:
     """The same where the themes outgrow a broadcast: each review meets the packed row of its product.
 

@@ -99,6 +99,17 @@ def test_sparse_steps_with_and_without_a_broadcast(spark, prior):
     assert results[0][1] == {i: nearest(app, text) for app, i, text in docs}
 
 
+def test_a_round_sends_sums_instead_of_entries(spark):
+    rows = [(a, i, [("aa", 1.0), ("bb", 0.5)]) for a in (0, 1) for i in range(300)] + [(None, 1, [("aa", 1.0)]), (0, 2, []), (0, 3, None)]
+    docs = spark.createDataFrame(rows, "app_id int, id long, weights array<struct<term: string, weight: double>>").coalesce(1)
+    centres = spark.createDataFrame([(0, 2, "aa", 1.0), (0, 3, "cc", 1.0), (1, 4, "bb", 1.0)], "app_id int, topic_id int, term string, weight double")
+    sums = clusters._term_sums(docs, centres, "id", "weights", 1 << 20).collect()
+    assert len(sums) == len({(r.app_id, r.topic_id, r.term) for r in sums})
+    got = {(r.app_id, r.topic_id, r.term): r.total for r in sums if r.app_id is not None}
+    assert got == {(0, 2, "aa"): 300, (0, 2, "bb"): 150, (0, 2, None): 302,
+                   (1, 4, "aa"): 300, (1, 4, "bb"): 150, (1, 4, None): 300}
+
+
 def test_prior_must_not_be_negative(spark):
     with pytest.raises(ValueError):
         clusters.seeded_kmeans(None, None, [], "v", 1, prior=-1)
