@@ -277,6 +277,40 @@ def test_repeats_of_a_line_do_not_meet_all_repeats_of_the_other_text():
         assert set().union(*(range(c, e) for _, _, c, e, _ in found)) == set(range(20, 146))
 
 
+def test_a_word_repeated_very_often_is_one_place():
+    def folded(*parts):
+        return [w for word, n in parts for w in [word] * n]
+
+    a = folded(("as", 900), ("so", 70), ("as", 400), ("to", 1500), ("so", 300))
+    b = folded(("as", 300), ("so", 900), ("as", 800), ("to", 100), ("so", 1200))
+    found = matching_passages(hashed(a), hashed(b))
+    assert 0 < len(found) < 10 and all(s == 1 for *_, s in found)
+    assert set().union(*(range(i, z) for i, z, *_ in found)) == set(range(len(a)))
+    assert set().union(*(range(c, e) for _, _, c, e, _ in found)) == set(range(len(b)))
+    assert matching_passages(hashed(["as"] * 900), hashed(["as"] * 45)) == []
+
+
+def test_places_without_room_lie_in_no_passage():
+    rng = random.Random(17)
+    n = [0, 0]
+    for k in range(60):
+        a, p = prose(rng, 300), prose(rng, 70)
+        b = prose(rng, 200)
+        q = [w if rng.random() > 0.02 * (k % 4) else "other" for w in p]
+        a[100:100], b[60:60] = p + p[:20], p[:20] + q
+        x, y = hashed(a), hashed(b)
+        pair = passages._Pair(x, y, 0.8)
+        want = similar_span(x[100:166], y[80:146])
+        n[want] += 1
+        if want:
+            i, z, c, e, _ = max(matching_passages(x, y), key=lambda m: m[1] - m[0])
+            assert pair.room[0][i : z - 4].all() and pair.room[1][c : e - 4].all()
+        assert not pair.room[0].any() or not (pair.room[0][220:].any() or pair.room[1][190:].any())
+        assert not want or passages._may_match(np.unique(x), [y[:70], y]).tolist()[1]
+        assert not passages._may_match(np.unique(x), [y[190:], y[:0]]).any()
+    assert min(n) > 3
+
+
 def test_last_step_links_copies_with_a_block_put_in(spark, monkeypatch):
     rng = random.Random(15)
     docs = {}
